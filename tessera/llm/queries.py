@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, sharding, simhash
+from . import exact, mixing, packing, sharding, simhash, substring
 
 
 def queries():
     return {
+        "op3_best_fit": packing.op3_best_fit,
+        "op4_rabin_karp": substring.op4_rabin_karp,
         "op5_simhash": simhash.op5_simhash,
         "op6_exact": exact.op6_exact,
         "op8_virtual_slots": sharding.op8_virtual_slots,
