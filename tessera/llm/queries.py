@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, packing, sharding, simhash, substring
+from . import exact, mixing, packing, quality, sharding, simhash, substring
 
 
 def queries():
     return {
+        "op1_ordinal": quality.op1_ordinal,
         "op3_best_fit": packing.op3_best_fit,
         "op4_rabin_karp": substring.op4_rabin_karp,
         "op5_simhash": simhash.op5_simhash,
