@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, packing, quality, sharding, simhash, substring
+from . import exact, langid, mixing, packing, quality, sharding, simhash, substring
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_exact": exact.op6_exact,
         "op8_virtual_slots": sharding.op8_virtual_slots,
         "op9_systematic": mixing.op9_systematic,
+        "op10_crf": langid.op10_crf,
     }
 
 
