@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact, langid, mixing, packing, quality, sharding, simhash, substring
+from . import exact, langid, media, mixing, packing, quality, sharding, simhash, substring
 
 
 def queries():
     return {
         "op1_ordinal": quality.op1_ordinal,
+        "op2_webp": media.op2_webp,
         "op3_best_fit": packing.op3_best_fit,
         "op4_rabin_karp": substring.op4_rabin_karp,
         "op5_simhash": simhash.op5_simhash,
