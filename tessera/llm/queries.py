@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, langid, media, mixing, packing, quality, sharding, simhash, substring
+from . import exact, langid, media, mixing, packing, quality, runindex, sharding, simhash, substring
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_rabin_karp": substring.op4_rabin_karp,
         "op5_simhash": simhash.op5_simhash,
         "op6_exact": exact.op6_exact,
+        "op7_run_index": runindex.op7_run_index,
         "op8_virtual_slots": sharding.op8_virtual_slots,
         "op9_systematic": mixing.op9_systematic,
         "op10_crf": langid.op10_crf,
