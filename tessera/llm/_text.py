@@ -74,7 +74,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``limit`` bytes; one longer document is a block of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -117,8 +117,11 @@ def window_hashes(values: np.ndarray, width: int, base: np.uint64 = STEP, seed:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return mix(spans_hash(values, at, at + width, base), seed)
+    up, down = powers(base, len(values) + 1)
+    sums = np.empty(len(values) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * down[:n], seed)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -132,3 +135,13 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         span *= 2
     rest = width - span
     return np.minimum(out[:n], out[rest : rest + n]) if rest else out[:n]
+
+
+def sorted_pairs(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, value) pairs in order, and how often each comes."""
+    if not len(doc):
+        return doc.astype(np.int64), value, np.zeros(0, np.int64)
+    order = np.lexsort((value, doc))
+    d, v = doc[order], value[order]
+    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (v[1:] != v[:-1])]))
+    return d[first], v[first], np.diff(np.append(first, len(d)))

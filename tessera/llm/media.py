@@ -60,17 +60,15 @@ def read_payload(media: bytes) -> bytes:
 
 
 def feature(images: list[np.ndarray]) -> str:
-    """Size, mean samples and a 64-bit difference hash of the first image."""
-    rgb = samples(images[0])
-    rows = sum(x.shape[0] for x in images)
-    mean = np.concatenate([samples(x).reshape(-1, 3) for x in images]).mean(axis=0) if len(images) > 1 else rgb.reshape(-1, 3).mean(axis=0)
-    grey = rgb.sum(axis=2, dtype=np.int64)
-    at = np.linspace(0, grey.shape[0], 9).astype(np.int64)
-    sums = np.concatenate([np.zeros((1, grey.shape[1]), np.int64), np.cumsum(grey, axis=0)])
-    bands = (sums[np.maximum(at[1:], at[:-1] + 1).clip(max=grey.shape[0])] - sums[at[:-1].clip(max=grey.shape[0] - 1)])[:, : grey.shape[1] // 9 * 9 or None]
-    cells = np.add.reduceat(bands, np.linspace(0, bands.shape[1], 10).astype(np.int64)[:-1], axis=1) if bands.shape[1] >= 9 else np.repeat(bands[:, :1], 9, axis=1)
-    bits = np.packbits((cells[:, 1:] > cells[:, :-1]).ravel()).tobytes().hex()
-    return f"{rgb.shape[1]}x{rows} rgb {mean[0]:.3f} {mean[1]:.3f} {mean[2]:.3f} dhash {bits}"
+    """Size, mean samples, and a 64-bit difference hash of 65 equal stretches of the samples."""
+    flat = [samples(x).reshape(-1, 3) for x in images]
+    rgb = flat[0] if len(flat) == 1 else np.concatenate(flat)
+    mean = rgb.sum(axis=0, dtype=np.int64) / len(rgb)
+    sums = np.concatenate([[0], np.cumsum(rgb.ravel(), dtype=np.int64)])
+    at = np.arange(66) * rgb.size // 65
+    level = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
+    bits = np.packbits(level[1:] > level[:-1]).tobytes().hex()
+    return f"{images[0].shape[1]}x{sum(x.shape[0] for x in images)} rgb {mean[0]:.3f} {mean[1]:.3f} {mean[2]:.3f} dhash {bits}"
 
 
 def _store_batches(batches):

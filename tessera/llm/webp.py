@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -42,7 +43,8 @@ BLACK = np.uint32(0xFF000000)
 
 MAX_CODE = 12  # of our own codes; a reader takes up to 15
 STRIP = 1 << 15
-SMALL = 3072  # pixels up to which the shared codes are used
+SMALL = 1 << 14  # pixels up to which the shared codes are used
+TOKEN = 20  # bits of the table of token lengths
 MATCH = 8  # pixels that a back-reference needs at least
 
 
@@ -176,15 +178,17 @@ class Reader:
     #: Groups of codes read lately: (alphabet, bits they took) -> (those bits, codes).
     seen: dict = {}
 
-    def group(self, cache_size: int) -> list[Code]:
+    def group(self, cache_size: int) -> Group:
         """The five codes of a group. Equal bits make equal codes, so those read before are kept."""
-        for (size, n), (bits, known) in Reader.seen.items():
+        for key, (bits, known) in reversed(Reader.seen.items()):
+            size, n = key
             if size == cache_size and self.at + n <= self.end and self.peek_bits(self.at, n) == bits:
                 self.at += n
+                Reader.seen[key] = Reader.seen.pop(key)  # the one used last goes last
                 return known
         began = self.at
-        got = [self.code(n) for n in (256 + LENGTHS + cache_size, 256, 256, 256, DISTANCES)]
-        if len(Reader.seen) >= 4:
+        got = Group([self.code(n) for n in (256 + LENGTHS + cache_size, 256, 256, 256, DISTANCES)])
+        if len(Reader.seen) >= 12:
             Reader.seen.pop(next(iter(Reader.seen)))
         Reader.seen[cache_size, self.at - began] = (self.peek_bits(began, self.at - began), got)
         return got
@@ -254,18 +258,68 @@ def _windows(data: np.ndarray, a: int, n: int) -> np.ndarray:
     return (v[:, None] >> np.arange(8, dtype=np.uint64)[None, :]).ravel().view(np.int64)
 
 
-def _read_fast(r: Reader, group, n: int, width: int, cache_bits: int) -> np.ndarray:
+class Group(list):
+    """The five codes of a group, with the length of a whole token by its first bits once that pays."""
+
+    def __init__(self, found):
+        super().__init__(found)
+        green, _, _, _, dist = found
+        self.masks = [(1 << c.bits) - 1 for c in found]
+        self.literal = (green.symbol < 256).astype(np.int64)
+        self.copy = (green.symbol >= 256) & (green.symbol < 256 + LENGTHS)
+        self.extra = np.where(self.copy & (green.symbol >= 260), (green.symbol - 258) >> 1, 0)
+        self.dist_extra = np.where(dist.symbol < 4, 0, (dist.symbol - 2) >> 1)
+        self.copies = bool(self.copy.any())
+        self.reads, self.table = 0, None
+
+    def lengths(self, w: np.ndarray) -> np.ndarray:
+        """Bits of the token that starts each window."""
+        green, red, blue, alpha, dist = self
+        g = w & self.masks[0]
+        used = green.length[g]
+        rest = red.length[(w >> used) & self.masks[1]]
+        rest = rest + blue.length[(w >> (used + rest)) & self.masks[2]]
+        if alpha.bits:
+            rest = rest + alpha.length[(w >> (used + rest)) & self.masks[3]]
+        step = used + rest * self.literal[g]
+        if self.copies:
+            c = np.flatnonzero(self.copy[g])
+            after = used[c] + self.extra[g[c]]
+            d = (w[c] >> after) & self.masks[4]
+            step[c] = after + dist.length[d] + self.dist_extra[d]
+        return step
+
+    def length_of(self, x: int) -> int:
+        """``lengths`` of one window."""
+        green, red, blue, alpha, dist = self
+        g = x & self.masks[0]
+        n = int(green.length[g])
+        if self.literal[g]:
+            n += int(red.length[x >> n & self.masks[1]])
+            n += int(blue.length[x >> n & self.masks[2]])
+            return n + int(alpha.length[x >> n & self.masks[3]])
+        if self.copy[g]:
+            n += int(self.extra[g])
+            d = x >> n & self.masks[4]
+            n += int(dist.length[d]) + int(self.dist_extra[d])
+        return n
+
+    def steps(self, w: np.ndarray) -> np.ndarray:
+        """As ``lengths``, through a table of the first bits where a group is read often or long; 0: longer than those bits."""
+        self.reads += len(w)
+        if self.table is None and self.reads > 1 << (TOKEN + 1):
+            short = self.lengths(np.arange(1 << TOKEN, dtype=np.int64))
+            self.table = np.where(short <= TOKEN, short, 0).astype(np.uint8)
+        if self.table is None:
+            return self.lengths(w).astype(np.uint8)
+        return self.table.take(w & ((1 << TOKEN) - 1))
+
+
+def _read_fast(r: Reader, group: Group, n: int, width: int, cache_bits: int) -> np.ndarray:
     """All tokens of an image with one group, strip by strip."""
     green, red, blue, alpha, dist = group
     data = np.frombuffer(r.data, dtype=np.uint8)
-    g_mask, r_mask, b_mask, a_mask, d_mask = ((1 << c.bits) - 1 for c in group)
-    literal = (green.symbol < 256).astype(np.int64)
-    only_literal = bool(literal.all())
-    is_copy = (green.symbol >= 256) & (green.symbol < 256 + LENGTHS)
-    extra_of = np.where(is_copy, np.maximum(green.symbol - 258, 0) >> 1, 0)
-    extra_of[is_copy & (green.symbol < 260)] = 0
-    d_extra = np.where(dist.symbol < 4, 0, (dist.symbol - 2) >> 1)
-    copies = bool(is_copy.any())
+    _, r_mask, b_mask, a_mask, d_mask = group.masks
     got, pixels, p = [], 0, r.at
     last = len(data) - 8
     while pixels < n:
@@ -274,33 +328,22 @@ def _read_fast(r: Reader, group, n: int, width: int, cache_bits: int) -> np.ndar
         if size <= 0:
             raise Broken("the data end too soon")
         w = _windows(data, a, size)
-        g = w & g_mask
-        used = green.length[g]
-        k = (w >> used) & r_mask
-        rest = red.length[k]
-        k = (w >> (used + rest)) & b_mask
-        rest += blue.length[k]
-        if alpha.bits:
-            rest += alpha.length[(w >> (used + rest)) & a_mask]
-        if not only_literal:
-            rest *= literal[g]
-        step = used + rest
-        if copies:
-            c = np.flatnonzero(is_copy[g])
-            after = used[c] + extra_of[g[c]]
-            d = (w[c] >> after) & d_mask
-            step[c] = after + dist.length[d] + d_extra[d]
-        follow = memoryview(np.arange(len(w)) + step)
-        chain, q = [], p - 8 * a
+        step = group.steps(w)
+        chain, q = array("i"), p - 8 * a
         stop, note = len(w), chain.append
-        if not step.any():  # all codes have one symbol: no bits at all
-            chain = [q] * (n - pixels)
+        if not any(c.bits for c in group[:4]):  # one symbol each: no bits at all
+            chain = array("i", [q]) * (n - pixels)
         else:
+            follow = memoryview(step)
             while q < stop:
                 note(q)
-                q = follow[q]
-        at = np.array(chain, dtype=np.int64)
-        w, g = w[at], g[at]
+                if k := follow[q]:
+                    q += k
+                else:
+                    q += group.length_of(int(w[q]))
+        at = np.frombuffer(chain, dtype=np.int32)
+        w = w[at]
+        g = w & group.masks[0]
         used = green.length[g]
         sym = green.symbol[g]
         lit = sym < 256
@@ -309,32 +352,45 @@ def _read_fast(r: Reader, group, n: int, width: int, cache_bits: int) -> np.ndar
         used = used + red.length[k]
         k = (w >> used) & b_mask
         argb |= blue.symbol[k]
-        used = used + blue.length[k]
-        argb |= alpha.symbol[(w >> used) & a_mask] << 24
-        size_of = np.ones(len(at), dtype=np.int64)
-        back = np.zeros(len(at), dtype=np.int64)
-        if copies:
-            c = np.flatnonzero((sym >= 256) & (sym < 256 + LENGTHS))
+        if alpha.bits:
+            argb |= alpha.symbol[(w >> (used + blue.length[k])) & a_mask] << 24
+        else:
+            argb |= int(alpha.symbol[0]) << 24
+        size_of = back = None
+        total_end = pixels + len(at)
+        if group.copies and (c := np.flatnonzero(group.copy[g])).size:
+            size_of = np.ones(len(at), dtype=np.int64)
+            back = np.zeros(len(at), dtype=np.int64)
             s, u = sym[c] - 256, green.length[g[c]]
             size_of[c], x = _values(s, w[c] >> u)
             u = u + x
             k = (w[c] >> u) & d_mask
             far, _ = _values(dist.symbol[k], w[c] >> (u + dist.length[k]))
             back[c] = np.where(far <= len(NEAR), _near_offsets(width)[np.minimum(far, len(NEAR)) - 1], far - len(NEAR))
-        total = np.cumsum(size_of) + pixels
-        keep = len(total)
-        if total[-1] >= n:
-            keep = int(np.searchsorted(total, n)) + 1
-            if total[keep - 1] != n:
-                raise Broken("a back-reference outside the image")
-        got.append((sym[:keep], np.where(lit, argb, 0)[:keep], size_of[:keep], back[:keep]))
-        pixels = int(total[keep - 1])
-        p = 8 * a + q if keep == len(total) else 8 * a + chain[keep]
+            total = np.cumsum(size_of) + pixels
+            total_end = int(total[-1])
+        keep = len(at)
+        if total_end >= n:
+            if size_of is None:
+                keep = n - pixels
+            else:
+                keep = int(np.searchsorted(total, n)) + 1
+                if total[keep - 1] != n:
+                    raise Broken("a back-reference outside the image")
+            total_end = n
+        got.append((sym[:keep], np.where(lit, argb, 0)[:keep], None if size_of is None else size_of[:keep], None if back is None else back[:keep]))
+        pixels = total_end
+        p = 8 * a + q if keep == len(at) else 8 * a + chain[keep]
     if p > r.end:
         raise Broken("the data end too soon")
     r.at = p
-    sym, argb, size_of, back = (np.concatenate(x) for x in zip(*got, strict=True))
-    return _resolve(sym, argb.astype(np.uint32), size_of, back, n, cache_bits)
+    sym = np.concatenate([x[0] for x in got]) if len(got) > 1 else got[0][0]
+    argb = (np.concatenate([x[1] for x in got]) if len(got) > 1 else got[0][1]).astype(np.uint32)
+    if all(x[2] is None for x in got):
+        return _fill(sym, argb, np.zeros(1 << cache_bits, dtype=np.uint32), cache_bits) if cache_bits else argb
+    size_of = np.concatenate([np.ones(len(x[0]), np.int64) if x[2] is None else x[2] for x in got])
+    back = np.concatenate([np.zeros(len(x[0]), np.int64) if x[3] is None else x[3] for x in got])
+    return _resolve(sym, argb, size_of, back, n, cache_bits)
 
 
 def _values(symbol: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -371,8 +427,6 @@ def _fill(sym: np.ndarray, argb: np.ndarray, cache: np.ndarray, cache_bits: int)
 def _resolve(sym, argb, size_of, back, n: int, cache_bits: int) -> np.ndarray:
     cache = np.zeros(1 << cache_bits, dtype=np.uint32) if cache_bits else None
     copies = np.flatnonzero(back)
-    if not len(copies):
-        return _fill(sym, argb, cache, cache_bits) if cache_bits else argb
     out, done, a = np.empty(n, dtype=np.uint32), 0, 0
     for c in [*copies.tolist(), len(sym)]:
         if c > a:
@@ -857,11 +911,18 @@ def _put_image(w: Writer, pixels: np.ndarray, width: int, cache_bits: int = 0, m
                 _put_code(w, x)
         tables = _tables(lens)
     (gc, gl), (rc, rl), (bc, bl), (ac, al), (dc, dl) = tables
-    g = group[at]
-    value, used = gc[g, sym], gl[g, sym]
-    for c, length, x in ((rc, rl, red), (bc, bl, blue), (ac, al, alpha)):
-        value = value | np.where(lit, c[g, x] << used.astype(np.uint64), np.uint64(0))
-        used = used + np.where(lit, length[g, x], 0)
+    if group_n == 1:
+        value, used = gc[0].take(sym), gl[0].take(sym)
+        for c, length, x in ((rc, rl, red), (bc, bl, blue), (ac, al, alpha)):
+            if length.any():
+                value = value | np.where(lit, c[0].take(x) << used.astype(np.uint64), np.uint64(0))
+                used = used + np.where(lit, length[0].take(x), 0)
+    else:
+        g = group[at]
+        value, used = gc[g, sym], gl[g, sym]
+        for c, length, x in ((rc, rl, red), (bc, bl, blue), (ac, al, alpha)):
+            value = value | np.where(lit, c[g, x] << used.astype(np.uint64), np.uint64(0))
+            used = used + np.where(lit, length[g, x], 0)
     if found:
         g = group[c_at]
         cv, cu = gc[g, 256 + l_sym], gl[g, 256 + l_sym]
@@ -874,13 +935,11 @@ def _put_image(w: Writer, pixels: np.ndarray, width: int, cache_bits: int = 0, m
 
 
 def _entropy(pixels: np.ndarray) -> float:
-    """Bits of the pixels at the entropy of each channel."""
-    total, n = 0.0, pixels.size
-    for k in (0, 8, 16, 24):
-        c = np.bincount((pixels.ravel() >> np.uint32(k) & np.uint32(255)).astype(np.int64), minlength=256)
-        c = c[c > 0]
-        total += n * np.log2(n) - float((c * np.log2(c)).sum())
-    return total
+    """Bits of the pixels at the entropy of their bytes by channel."""
+    b = _bgra(np.ascontiguousarray(pixels)).reshape(-1, 4) + np.arange(0, 1024, 256)
+    c = np.bincount(b.ravel(), minlength=1024)
+    c = c[c > 0]
+    return 4 * pixels.size * float(np.log2(max(pixels.size, 1))) - float((c * np.log2(c)).sum())
 
 
 def encode(pixels: np.ndarray, transforms: list | None = None, cache_bits: int | None = None, groups=None, match: int | None = MATCH, shared: bool | None = None) -> bytes:
@@ -896,11 +955,13 @@ def encode(pixels: np.ndarray, transforms: list | None = None, cache_bits: int |
     image = np.ascontiguousarray(pixels, dtype=np.uint32)
     if transforms is None:
         transforms = []
-        colours = len(np.unique(image)) if n <= 4096 else 257
-        if colours <= min(256, n // 2):
+        colours = len(np.unique(image.ravel()[:512]))
+        if n > 512 and colours <= 256:
+            colours = len(np.unique(image))
+        if colours <= min(256, n // 4):
             transforms = [("palette",)]
         elif n >= 64:
-            some = np.ascontiguousarray(image[:: -(-height // 16)])  # at most 16 rows, spread over the image
+            some = np.ascontiguousarray(image[:: -(-height // 8)])  # at most 8 rows, spread over the image
             flat = np.ones((-(-height // 512), -(-width // 512)), dtype=np.int64)
             left = (_bgra(some)[:, 1:] - _bgra(some)[:, :-1]).reshape(-1).view(np.uint32)
             options = [(_entropy(some), 0, []), (_entropy(shift_green(some, False)), 1, [("green",)]), (_entropy(left), 2, [("predictor", 9, flat)])]
@@ -930,7 +991,7 @@ def encode(pixels: np.ndarray, transforms: list | None = None, cache_bits: int |
             image = do_predictor(image, side, tile) if kind == "predictor" else cross_colour(image, side, tile, False)
     w.put(0, 1)
     if cache_bits is None:
-        cache_bits = 0 if index else 8 if n <= SMALL else 10
+        cache_bits = 0 if index else 8 if n <= 1 << 12 else 10
     if shared is None:
         shared = not index and n <= SMALL and not transforms and bool((pixels >= BLACK).all())
     _put_image(w, np.ascontiguousarray(image).ravel(), wide, cache_bits, True, groups, match, shared)
