@@ -3,7 +3,7 @@
 Every byte is removed that lies in a 100-byte string which also starts earlier (in a
 document with a smaller doc_id, or earlier in the same one).
 
-Splitting the work, exactly: of the 69 32-byte grams in a 100-byte string, the one with the
+Splitting the work, exactly: of the 53 48-byte grams in a 100-byte string, the one with the
 smallest hash is its anchor, so equal strings have equal anchors and the text falls into
 segments, the runs of strings under one anchor. Strings whose anchor occurs once cannot be
 repeated. Segments of equal content under an anchor are counted in Spark (partial sums
@@ -40,9 +40,10 @@ from pyspark.sql import functions as F
 from . import _store, _text
 
 WIDTH = 100
-GRAM = 32
+GRAM = 48
 CONTENTS = 2000
-BATCH = 1 << 20  # bytes of segments in one index
+BATCH = 1 << 19  # bytes of segments in one index
+PIECE = 124  # strings of a segment that are indexed together
 FEW_IDS = 1_000_000  # so many marked documents are sent to every task at most
 LAST = (1 << 63) - 1
 OTHER = np.uint64(0xA0761D6478BD642F)
@@ -100,19 +101,20 @@ class RunIndex:
         by_symbol = np.argsort(self.run_symbol, kind="stable")
         self.run_to = np.empty(len(first), dtype=np.int64)
         self.run_to[by_symbol] = np.cumsum(run_len[by_symbol]) - run_len[by_symbol]
+        self.run_to -= first  # so that a row only adds itself
+        self.run_of = np.repeat(np.arange(len(first), dtype=np.int32), run_len)  # directory, while the batch is streamed
         self.head_sample, self.tail_sample = order[first], order[first + run_len - 1]
         new = np.concatenate([[True], wide[order][1:] != wide[order][:-1]])
         self.interval_start = np.flatnonzero(new)
 
     def lf(self, rows: np.ndarray) -> np.ndarray:
         """Rows of the suffixes one symbol longer."""
-        run = np.searchsorted(self.run_start, rows, side="right") - 1
-        return self.run_to[run] + rows - self.run_start[run]
+        return self.run_to[self.run_of[rows]] + rows
 
     def stream(self):
         """(offset from the segments' ends, segments, rows) of every place, all segments in step, longest first."""
         order = np.argsort(-self.lens, kind="stable")
-        lens, rows = self.lens[order], order.copy()  # the end of segment s is row s
+        lens, rows = self.lens[order], order  # the end of segment s is row s
         for back in range(1, int(lens[0]) + 1 if len(lens) else 1):
             live = int(np.searchsorted(-lens, -back, side="right"))
             rows = self.lf(rows[:live])
@@ -122,13 +124,12 @@ class RunIndex:
         """Text place of a row: LF steps to the nearest sampled run end."""
         steps = 0
         while True:
-            run = int(np.searchsorted(self.run_start, row, side="right")) - 1
+            run = self.run_of[row]
             last = (self.run_start[run + 1] if run + 1 < len(self.run_start) else self.n) - 1
-            if row == self.run_start[run]:
-                return int((self.head_sample[run] + steps) % self.n)
-            if row == last:
-                return int((self.tail_sample[run] + steps) % self.n)
-            row, steps = int(self.run_to[run] + row - self.run_start[run]), steps + 1
+            if row in (self.run_start[run], last):
+                sample = self.head_sample if row == self.run_start[run] else self.tail_sample
+                return int((sample[run] + steps) % self.n)
+            row, steps = int(self.lf(np.array([row]))[0]), steps + 1
 
     def repeated(self, order_of: np.ndarray) -> list[np.ndarray]:
         """For each segment, the offsets of its strings that are not the earliest place of theirs.
@@ -174,10 +175,10 @@ def _runs(doc, at, anchor):
 
 
 def _twice(doc, at, anchor, grams, width, gram):
-    """(document, anchor) pairs, sorted, whose anchor has two places or more in the document's text."""
+    """(document, anchor) pairs whose anchor has two places or more in the document's text."""
     w = width - gram + 1
     if not len(doc):
-        return np.zeros((0, 2), np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     # A gram is the anchor of some string around it if it equals the largest anchor of those strings.
     top = np.zeros(len(grams) + w, dtype=np.uint64)
     top[at + w - 1] = anchor
@@ -186,9 +187,8 @@ def _twice(doc, at, anchor, grams, width, gram):
     # ... in the document of the string that starts at most w - 1 before it.
     k = np.minimum(np.searchsorted(at, place, side="right") - 1, len(at) - 1)
     ok = (k >= 0) & (place - at[np.maximum(k, 0)] < w)
-    pairs = np.stack([doc[k[ok]].astype(np.uint64), grams[place[ok]]], axis=1)
-    found, count = np.unique(pairs, axis=0, return_counts=True)
-    return found[count > 1]
+    d, v, count = _text.sorted_pairs(doc[k[ok]], grams[place[ok]])
+    return d[count > 1], v[count > 1]
 
 
 def _pair_key(doc, anchor):
@@ -203,12 +203,12 @@ def _scan(width, gram):
                 data, offs = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 doc, at, anchor, grams = _strings(data, offs, width, gram)
                 start = _runs(doc, at, anchor)
-                pairs = np.unique(np.stack([doc[start].astype(np.uint64), anchor[start]], axis=1), axis=0) if len(start) else np.zeros((0, 2), np.uint64)
-                twice = _twice(doc, at, anchor, grams, width, gram)
-                pairs = np.concatenate([pairs, twice])  # those found twice count twice
-                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                cuts = np.searchsorted(pairs[:, 0], np.arange(j - i + 1).astype(np.uint64)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64)))
+                d, v, _ = _text.sorted_pairs(doc[start], anchor[start])
+                d2, v2 = _twice(doc, at, anchor, grams, width, gram)
+                d, v = np.concatenate([d, d2]), np.concatenate([v, v2])  # those found twice count twice
+                order = np.argsort(d, kind="stable")
+                cuts = np.searchsorted(d[order], np.arange(j - i + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(v[order].view(np.int64)))
                 raw = data.tobytes()
                 sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(offs)), pa.array(sha, pa.string()), lists], ["doc_id", "n_bytes", "kept_sha256", "anchors"])
@@ -234,7 +234,7 @@ def _segments(width, gram):
                 ok = np.isin(mine, keys)
                 first, count, mine = first[ok], count[ok], mine[ok]
                 twice = _twice(doc, at, anchor, grams, width, gram)
-                own = np.isin(mine, _pair_key(twice[:, 0], twice[:, 1]))
+                own = np.isin(mine, _pair_key(*twice))
                 a, b = at[first], at[first] + count + width - 1
                 h = _text.mix(_text.spans_hash(data.astype(np.uint64) + np.uint64(1), a, b, OTHER) ^ (count.astype(np.uint64) << np.uint64(40)), 9)
                 yield pa.RecordBatch.from_arrays(
@@ -263,6 +263,12 @@ def _cut_out(width):
 
 def index_batch(doc_ids: np.ndarray, pos: np.ndarray, segments: list[bytes], width: int = WIDTH):
     """(doc_id, start, end) of the repeated bytes in segments of whole anchors."""
+    # Long segments are cut into pieces that share all but one string's bytes: every string lies in one piece.
+    step = PIECE
+    parts = [(k, a) for k, x in enumerate(segments) for a in range(0, max(len(x) - width + 1, 1), step)]
+    which, at = (np.array(x, dtype=np.int64) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+    segments = [segments[k][a : a + step + width - 1] for k, a in parts]
+    doc_ids, pos = doc_ids[which], pos[which] + at
     _, rank = np.unique(doc_ids, return_inverse=True)
     found = RunIndex(segments, width).repeated((rank.astype(np.int64) << 40) + pos)
     out = [[], [], []]
@@ -339,7 +345,10 @@ def repeated_marks(marked: DataFrame, width: int = WIDTH, gram: int = GRAM, cont
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("own").alias("any_own")).filter("kinds > 1 or any_own")
     want = kinds.join(open_, "anchor").select(F.col("first.doc_id").alias("doc_id"), F.struct("anchor", F.col("first.pos").alias("pos"), "strings").alias("w"), "kinds")
     want = want.groupBy("doc_id").agg(F.collect_list("w").alias("want"))
-    texts = marked.select("doc_id", "text").dropDuplicates(["doc_id"]).join(want, "doc_id").mapInArrow(_cut_out(width), "anchor long, doc_id long, pos long, segment binary")
+    one = marked.select("doc_id", "text")
+    if not marked.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows
+        one = one.dropDuplicates(["doc_id"])
+    texts = one.join(want, "doc_id").mapInArrow(_cut_out(width), "anchor long, doc_id long, pos long, segment binary")
     texts = _store.materialise(texts, "texts")
     hot = _store.materialise(open_.filter(F.col("kinds") > contents).select("anchor"), "hot")
     marks = later

@@ -63,11 +63,11 @@ def _scan(width, gram):
                 _, doc, _, anchor, _ = _window_table(data, offs, width, gram)
                 new = np.ones(len(doc), dtype=bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-                pairs = np.unique(np.stack([doc[new].astype(np.uint64), anchor[new]], axis=1), axis=0) if new.any() else np.zeros((0, 2), np.uint64)
-                cuts = np.searchsorted(pairs[:, 0], np.arange(j - i + 1).astype(np.uint64))
+                d, v, _ = _text.sorted_pairs(doc[new], anchor[new])
+                cuts = np.searchsorted(d, np.arange(j - i + 1))
                 raw = data.tobytes()
                 tokens = [raw[a:b].split() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-                anchors = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64)))
+                anchors = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(v.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), pa.array([len(t) for t in tokens], pa.int64()), pa.array([_sha(t) for t in tokens]), anchors], ["doc_id", "n_words", "kept_sha256", "anchors"]
                 )
