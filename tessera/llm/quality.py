@@ -131,19 +131,20 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, l1:
     theta = np.log(share / (1 - share))
     if n == 0 or len(np.unique(grades)) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), theta)
-    used, index = np.unique(np.concatenate(rows), return_inverse=True)
-    of = np.repeat(np.arange(n), [len(r) for r in rows])
-    df = np.bincount(index, minlength=len(used))
+    slots = np.concatenate(rows).astype(np.int32)
+    of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    df = np.bincount(slots, minlength=int(slots.max()) + 1)
     good = (df >= MIN_DF) & (df < n)
-    keep = good[index]
-    remap = np.cumsum(good) - 1
-    index, of, used = remap[index[keep]], of[keep], used[good]
+    used = np.flatnonzero(good)
+    keep = good[slots]
+    index, of = (np.cumsum(good, dtype=np.int32) - 1)[slots[keep]], of[keep]
+    del slots, keep
     # Grades weigh the same in all, so that few toxic rows count.
     weight = (n / grades_n / counts)[grades]
     weight = weight / weight.sum()
     v, w_prev, t_prev, momentum = np.zeros(len(used)), np.zeros(len(used)), theta.copy(), 1.0
     t = theta.copy()
-    scale = 1 / np.sqrt(np.maximum(df[good], 1) / n)  # larger steps for rare features
+    scale = 1 / np.sqrt(np.maximum(df[used], 1) / n)  # larger steps for rare features
     step = 4.0
 
     def gradient(w, t):
