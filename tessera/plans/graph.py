@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..registry import query
 from ..sources import corpus
+from ..storage import checkpoint
 
 CALLS = """
 local AS (SELECT * FROM (SELECT c.path, c.src_id, c.call_ord, c.key, s.symbol_id AS dst_id, row_number() OVER (PARTITION BY c.src_id, c.call_ord ORDER BY s.sym_ord) AS r
@@ -25,10 +26,15 @@ typed AS (SELECT DISTINCT src_id, type, dst_id FROM (SELECT src_id, 'calls' AS t
 WITH = f"WITH {corpus.EXPECTED_SQL}, {CALLS}"
 
 
+def parsed(spark, sf_dir):
+    """The corpus's symbols, written once: every step below reads them several times, and parsing is the costly part."""
+    return checkpoint(corpus.symbols(spark, sf_dir))
+
+
 def parts(spark, sf_dir):
-    s = corpus.symbols(spark, sf_dir)
-    i = graph.resolve_imports(corpus.imports(spark, sf_dir), corpus.files(spark, sf_dir))
-    return s, i
+    """Symbols and resolved imports, each written once."""
+    i = graph.resolve_imports(corpus.imports(spark, sf_dir), corpus.files(spark, sf_dir).select("repo_id", "path"))
+    return parsed(spark, sf_dir), checkpoint(i)
 
 
 @query("resolve_imports", f"{WITH} SELECT path, imp_ord, specifier, resolved_path, CASE WHEN resolved_path IS NULL THEN 0.4 ELSE 0.95 END::DOUBLE AS confidence FROM resolved")
@@ -42,7 +48,7 @@ def _resolved(found):
 
 @query("resolve_calls_local", f"{WITH} SELECT path, src_id, call_ord, key, dst_id FROM local")
 def resolve_calls_local(spark, sf_dir):
-    s = corpus.symbols(spark, sf_dir)
+    s = parsed(spark, sf_dir)
     return _resolved(graph.resolve_local(graph.call_sites(s), s))
 
 
@@ -54,7 +60,7 @@ def resolve_calls_imported(spark, sf_dir):
 
 @query("resolve_calls_global", f"{WITH} SELECT path, src_id, call_ord, key, dst_id FROM global")
 def resolve_calls_global(spark, sf_dir):
-    s = corpus.symbols(spark, sf_dir)
+    s = parsed(spark, sf_dir)
     return _resolved(graph.resolve_global(graph.call_sites(s), s))
 
 
@@ -65,7 +71,7 @@ def call_edges(spark, sf_dir):
 
 @query("typed_edges", f"{WITH} SELECT src_id, type, dst_id FROM typed")
 def typed_edges(spark, sf_dir):
-    return graph.typed_edges(corpus.symbols(spark, sf_dir)).select("src_id", "type", "dst_id")
+    return graph.typed_edges(parsed(spark, sf_dir)).select("src_id", "type", "dst_id")
 
 
 @query("reverse_edges", f"{WITH} SELECT src_id, dst_id, 'callee' AS direction FROM edges UNION ALL SELECT dst_id, src_id, 'caller' FROM edges")
@@ -75,17 +81,17 @@ def reverse_edges(spark, sf_dir):
 
 @query("tests_theta", f"{WITH} SELECT s.symbol_id AS src_id, t.path AS test_path, t.qualified_name AS test_symbol FROM ids t JOIN ids s ON contains(lower(t.name), lower(s.name)) WHERE contains(t.path, 'test_')")
 def tests_theta(spark, sf_dir):
-    return graph.test_links(corpus.symbols(spark, sf_dir)).select("src_id", "test_path", "test_symbol")
+    return graph.test_links(parsed(spark, sf_dir)).select("src_id", "test_path", "test_symbol")
 
 
 @query("tests_calls", f"{WITH} SELECT src_id, dst_id FROM typed WHERE type = 'tests'")
 def tests_calls(spark, sf_dir):
-    return graph.typed_edges(corpus.symbols(spark, sf_dir)).filter("type = 'tests'").select("src_id", "dst_id")
+    return graph.typed_edges(parsed(spark, sf_dir)).filter("type = 'tests'").select("src_id", "dst_id")
 
 
 @query("symbol_tests", f"{WITH} SELECT s.qualified_name, t.qualified_name AS test_symbol, t.path AS file FROM typed e JOIN ids s ON s.symbol_id = e.dst_id JOIN ids t ON t.symbol_id = e.src_id WHERE e.type = 'tests'")
 def symbol_tests(spark, sf_dir):
-    s = corpus.symbols(spark, sf_dir)
+    s = parsed(spark, sf_dir)
     e = graph.typed_edges(s).filter("type = 'tests'")
     named = e.join(s.select(F.col("symbol_id").alias("dst_id"), "qualified_name"), "dst_id").select("qualified_name", F.col("src_id").alias("id"))
     return graph.reference(named, s).select("qualified_name", F.col("name").alias("test_symbol"), "file")
@@ -143,7 +149,7 @@ def symbol_context(spark, sf_dir):
 
 @query("edge_query", f"{WITH} SELECT s.path, s.qualified_name, e.type, e.dst_id AS id, t.qualified_name AS name FROM typed e JOIN ids s ON s.symbol_id = e.src_id JOIN ids t ON t.symbol_id = e.dst_id WHERE e.type = 'inherits'")
 def edge_query(spark, sf_dir):
-    s = corpus.symbols(spark, sf_dir)
+    s = parsed(spark, sf_dir)
     e = graph.typed_edges(s).filter("type = 'inherits'").join(s.select(F.col("symbol_id").alias("src_id"), "path", "qualified_name"), "src_id")
     return graph.reference(e.select("path", "qualified_name", "type", F.col("dst_id").alias("id")), s).select("path", "qualified_name", "type", "id", "name")
 
@@ -154,7 +160,7 @@ def edge_query(spark, sf_dir):
       CAST((SELECT count(*) FROM typed e WHERE e.type = 'inherits' AND e.dst_id = s.symbol_id) AS BIGINT) AS inheritors FROM ids s""",
 )
 def edge_degree(spark, sf_dir):
-    s = corpus.symbols(spark, sf_dir)
+    s = parsed(spark, sf_dir)
     return graph.degrees(graph.typed_edges(s), s)
 
 
@@ -210,7 +216,7 @@ def project_map(spark, sf_dir):
       SELECT from_id, to_id, CAST(CASE WHEN from_id = to_id THEN 0 ELSE COALESCE((SELECT min(d) FROM near n WHERE n.src_id = from_id AND n.dst_id = to_id), 5) END AS INTEGER) AS distance FROM pairs""",
 )
 def graph_distance(spark, sf_dir):
-    s = corpus.symbols(spark, sf_dir)
+    s = parsed(spark, sf_dir)
     a = s.filter("file_ord % 10 = 0").select(F.col("symbol_id").alias("from_id"), F.explode(F.array(*[F.col("file_ord") + F.lit(k) for k in (0, 40, 80, 20, 2)])).alias("file_ord"))
     pairs = a.join(s.select("file_ord", F.col("symbol_id").alias("to_id")), "file_ord").select("from_id", "to_id")
     return graph.distances(pairs, graph.typed_edges(s), s)
