@@ -333,7 +333,7 @@ def _remove(batches):
 
 
 def repeated_marks(marked: DataFrame, width: int = WIDTH, gram: int = GRAM, contents: int = CONTENTS) -> DataFrame:
-    """(doc_id, a, b): spans of repeated bytes in documents with the anchors to look at."""
+    """doc_id and marks, an array of (a, b): spans of repeated bytes in documents with the anchors to look at."""
     seen = _store.materialise(marked.mapInArrow(_segments(width, gram), "anchor long, content long, doc_id long, pos long, strings long, own boolean"), "segments")
     place = F.struct("doc_id", "pos")
     kinds = seen.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max("strings").alias("strings"), F.max("own").alias("own"), F.count("*").alias("n"))
@@ -349,7 +349,7 @@ def repeated_marks(marked: DataFrame, width: int = WIDTH, gram: int = GRAM, cont
     if not marked.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows
         one = one.dropDuplicates(["doc_id"])
     texts = one.join(want, "doc_id").mapInArrow(_cut_out(width), "anchor long, doc_id long, pos long, segment binary")
-    texts = _store.materialise(texts, "texts")
+    made = texts = _store.materialise(texts, "texts")
     hot = _store.materialise(open_.filter(F.col("kinds") > contents).select("anchor"), "hot")
     marks = later
     if not hot.isEmpty():
@@ -359,25 +359,32 @@ def repeated_marks(marked: DataFrame, width: int = WIDTH, gram: int = GRAM, cont
         marks = marks.unionByName(again)
         texts = texts.join(hot, "anchor", "left_anti")
     indexed = texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index(width), "doc_id long, a long, b long")
-    return marks.unionByName(indexed)
+    out = marks.unionByName(indexed).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    out = _store.materialise(out, "marks")
+    _store.discard(seen, kinds, made, hot)
+    return out
 
 
 def byte_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, contents: int = CONTENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     named = _store.doc_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
     scanned = _store.materialise(named.mapInArrow(_scan(width, gram), "doc_id long, n_bytes long, kept_sha256 string, anchors array<long>"), "anchors")
+    stats = _store.materialise(scanned.drop("anchors"), "stats")
     anchors = scanned.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     found = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     found = _store.materialise(found, "found")
+    _store.discard(scanned)
     few = found.limit(FEW_IDS + 1).count() <= FEW_IDS
     some = named.join(F.broadcast(found.select("doc_id")), "doc_id", "left_semi") if few else named
     marked = _store.materialise(some.join(found, "doc_id"), "marked")
-    marks = repeated_marks(marked, width, gram, contents).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    _store.discard(found)
+    marks = repeated_marks(marked, width, gram, contents)
     cut = marked.select("doc_id", "text").join(marks, "doc_id").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     cut = _store.materialise(cut, "cut")
+    _store.discard(marked, marks)
     zero = F.lit(0).cast("long")
-    whole = scanned.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256").join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
+    whole = stats.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256").join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
     return whole.unionByName(cut).withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 
