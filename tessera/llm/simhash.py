@@ -15,8 +15,9 @@ fingerprints that share a probe are verified.
 Verification runs on distinct fingerprints only. A probe's bucket is searched outwards from
 one member at a time: all unreached members within the limit are reached and leave the
 search, so a tight cluster costs a few passes and gives a spanning forest, not all pairs.
-Buckets beyond ``BUCKET`` rows are dealt into blocks and every pair of blocks is a bucket of
-its own, so no link is lost and no task holds more than two blocks of a bucket.
+Buckets beyond ``BUCKET`` rows are dealt into blocks; those outside the largest component
+that the blocks give on their own then meet every block, so no link is lost and no task
+holds more than two blocks of a bucket.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like any other; with
 fewer words than a shingle the whole sequence is the one shingle; repeated rows are linked
@@ -258,16 +259,40 @@ def _verify(limit: int):
 
 
 def links(distinct: DataFrame, limit: int = LIMIT, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints within ``limit`` bits, as a spanning set."""
+    """(a, b): links that connect all distinct fingerprints within ``limit`` bits, as a spanning set.
+
+    A bucket beyond ``bucket`` rows is searched in two passes. First each of its blocks on its
+    own, with one member of the bucket added to all; that joins a tight cluster, however large.
+    Then only the members outside the bucket's largest component so far meet all blocks.
+    """
     probes = _probes(distinct, plan(distinct, limit)).select(F.xxhash64("part", "probe").alias("key"), "fp")
-    counts = probes.groupBy("key").agg(F.count("*").alias("n"))
-    shared = counts.filter("n > 1")
-    hot = _store.materialise(shared.filter(F.col("n") > bucket), "hot")
-    if not hot.isEmpty():
-        dealt = probes.join(hot, "key").withColumn("n", F.ceil(F.col("n") / bucket).cast("int"))
-        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"), F.lit(1)).alias("key"), "fp")
-        probes = probes.join(hot, "key", "left_anti").unionByName(dealt)
+    counts = probes.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot"))
+    hot = _store.materialise(counts.filter(F.col("n") > bucket).withColumn("n", F.ceil(F.col("n") / bucket).cast("int")), "hot")
+    if hot.isEmpty():
+        return _verified(probes, limit)
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    block = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    large = _store.materialise(probes.join(hot, "key").withColumn("block", block), "large")
+    alone = lambda b: F.xxhash64("key", b, F.lit(1)).alias("key")
+    first = large.select(alone("block"), "fp").unionByName(hot.withColumn("block", blocks(F.col("n"))).select(alone("block"), F.col("pivot").alias("fp")))
+    base = _store.materialise(_verified(probes.join(hot, "key", "left_anti").unionByName(first), limit), "links")
+    named = large.join(components(base), F.col("fp") == F.col("node"), "left").select("key", "fp", "n", "block", F.coalesce("component", "fp").alias("component"))
+    named = _store.materialise(named, "named")
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("component", "size").alias("main"), (F.sum("size") - F.max("size")).alias("outside")).filter("outside > 0")
+    main = _store.materialise(main.withColumn("m", F.ceil(F.col("outside") / bucket).cast("int")), "main")
+    if main.isEmpty():
+        return base
+    both = named.join(main, "key")
+    mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("m")).cast("int")
+    meet = lambda j, i: F.xxhash64("key", j, i, F.lit(2)).alias("key")
+    outside = both.filter("component <> main").withColumn("j", mine).withColumn("i", blocks(F.col("n"))).select(meet("j", "i"), "fp")
+    all_rows = both.withColumn("j", blocks(F.col("m"))).select(meet("j", "block"), "fp")
+    return base.unionByName(_verified(outside.unionByName(all_rows), limit)).distinct()
+
+
+def _verified(probes: DataFrame, limit: int) -> DataFrame:
+    """Links among the fingerprints that share a key."""
     spread = probes.repartition("key").sortWithinPartitions("key")
     return spread.mapInArrow(_verify(limit), "a long, b long").distinct()
 
