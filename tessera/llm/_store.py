@@ -8,6 +8,7 @@ a laptop) a folder of our own is used and recorded in the session.
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str = "table") -> DataFrame:
+def materialise(df: DataFrame, label: str = "table", free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back with the same schema.
 
     A written table needs the shuffles behind it no more. Spark removes shuffle files once the
-    driver's garbage collector has seen them go, so it is asked to look, or they pile up.
+    driver's garbage collector has seen them go; ``free`` asks it to look now, after large
+    shuffles. The listeners let go of a finished query a moment late, so it looks twice.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2 * free):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

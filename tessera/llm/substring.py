@@ -36,6 +36,7 @@ from . import _store, _text
 WINDOW = 50
 GRAM = 16
 LAST = (1 << 63) - 1
+FEW_IDS = 1_000_000  # so many marked documents are sent to every task at most
 OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -131,15 +132,24 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW, gram: int = GRAM) -> D
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     named = _store.doc_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
     scanned = _store.materialise(named.mapInArrow(_scan(width, gram), "doc_id long, n_words long, kept_sha256 string, anchors array<long>"), "anchors")
+    stats = _store.materialise(scanned.drop("anchors"), "stats")
     anchors = scanned.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    marked = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    some = _store.materialise(named.join(marked, "doc_id"), "marked")
+    marked = _store.materialise(anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "found", free=True)
+    _store.discard(scanned)
+    few = marked.limit(FEW_IDS + 1).count() <= FEW_IDS
+    texts = named.join(F.broadcast(marked.select("doc_id")), "doc_id", "left_semi") if few else named
+    some = _store.materialise(texts.join(marked, "doc_id"), "marked", free=True)
+    _store.discard(marked)
     windows = some.mapInArrow(_windows(width, gram), "doc_id long, h1 long, h2 long")
     firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
+    firsts = _store.materialise(firsts, "firsts", free=True)
     repeated = windows.join(firsts, ["h1", "h2"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("h1").alias("repeated"))
+    repeated = _store.materialise(repeated, "repeated", free=True)
+    _store.discard(firsts)
     cut = _store.materialise(some.select("doc_id", "text").join(repeated, "doc_id").mapInArrow(_cut(width, gram), "doc_id long, n_words long, n_removed long, kept_sha256 string"), "cut")
-    whole = scanned.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
+    _store.discard(some, repeated)
+    whole = stats.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
     return whole.unionByName(cut).withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 
