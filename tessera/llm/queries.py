@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_exact": exact.OP6_SQL, "op9_systematic": mixing.OP9_SQL}
+    return {"op4_rabin_karp": substring.OP4_SQL, "op6_exact": exact.OP6_SQL, "op9_systematic": mixing.OP9_SQL}

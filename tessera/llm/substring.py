@@ -156,3 +156,23 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW, gram: int = GRAM) -> D
 def op4_rabin_karp(spark, sf_dir: str) -> DataFrame:
     """All documents without the 50-word passages that occur in an earlier document."""
     return substring_dedup(_store.table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS words FROM starts
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY words) AS first FROM windows) WHERE doc_id > first
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM repeated
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT x.doc_id, count(*) AS n, string_agg(x.word, ' ' ORDER BY x.p) AS t FROM words x WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = x.doc_id AND g.p = x.p) GROUP BY x.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - COALESCE(k.n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(k.t, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
