@@ -337,7 +337,7 @@ def repeated_marks(marked: DataFrame, width: int = WIDTH, gram: int = GRAM, cont
     seen = _store.materialise(marked.mapInArrow(_segments(width, gram), "anchor long, content long, doc_id long, pos long, strings long, own boolean"), "segments")
     place = F.struct("doc_id", "pos")
     kinds = seen.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max("strings").alias("strings"), F.max("own").alias("own"), F.count("*").alias("n"))
-    kinds = _store.materialise(kinds, "contents")
+    kinds = _store.materialise(kinds, "contents", free=True)
     # All but the first occurrence of a content, as a whole.
     many = kinds.filter("n > 1").select("anchor", "content", "first")
     later = seen.join(many, ["anchor", "content"]).filter(place != F.col("first")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + F.col("strings") + width - 1).alias("b"))
@@ -360,7 +360,7 @@ def repeated_marks(marked: DataFrame, width: int = WIDTH, gram: int = GRAM, cont
         texts = texts.join(hot, "anchor", "left_anti")
     indexed = texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index(width), "doc_id long, a long, b long")
     out = marks.unionByName(indexed).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    out = _store.materialise(out, "marks")
+    out = _store.materialise(out, "marks", free=True)
     _store.discard(seen, kinds, made, hot)
     return out
 
@@ -373,11 +373,11 @@ def byte_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, contents:
     anchors = scanned.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     found = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    found = _store.materialise(found, "found")
+    found = _store.materialise(found, "found", free=True)
     _store.discard(scanned)
     few = found.limit(FEW_IDS + 1).count() <= FEW_IDS
     some = named.join(F.broadcast(found.select("doc_id")), "doc_id", "left_semi") if few else named
-    marked = _store.materialise(some.join(found, "doc_id"), "marked")
+    marked = _store.materialise(some.join(found, "doc_id"), "marked", free=True)
     _store.discard(found)
     marks = repeated_marks(marked, width, gram, contents)
     cut = marked.select("doc_id", "text").join(marks, "doc_id").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
