@@ -19,8 +19,8 @@ each step gives the suffix row of a position, and the row's interval between two
 set of places whose match is at least 100 bytes long. All but the earliest place of an
 interval are repeated. The full suffix array is dropped once the runs are made.
 
-Anchors with more than ``CONTENTS`` contents (a very common passage in ever new contexts)
-do not go to one task: the strings of their segments are hashed (128 bits) and counted in
+Anchors with more than ``CONTENTS`` contents (a very common passage in ever new contexts) or
+with very many strings (a huge periodic text) do not go to one task: the strings of their segments are hashed (128 bits) and counted in
 Spark, the exact way for the rest.
 
 Defined cases: null texts are empty; texts under 100 bytes stay whole; a null doc_id comes
@@ -42,6 +42,7 @@ from . import _store, _text
 WIDTH = 100
 GRAM = 48
 CONTENTS = 2000
+STRINGS = 100  # on average, of a content of an anchor that is indexed
 BATCH = 1 << 19  # bytes of segments in one index
 PIECE = 124  # strings of a segment that are indexed together
 FEW_IDS = 1_000_000  # so many marked documents are sent to every task at most
@@ -342,15 +343,15 @@ def repeated_marks(marked: DataFrame, width: int = WIDTH, gram: int = GRAM, cont
     many = kinds.filter("n > 1").select("anchor", "content", "first")
     later = seen.join(many, ["anchor", "content"]).filter(place != F.col("first")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + F.col("strings") + width - 1).alias("b"))
     # The first occurrences where an anchor has several contents or comes twice in a document.
-    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("own").alias("any_own")).filter("kinds > 1 or any_own")
-    want = kinds.join(open_, "anchor").select(F.col("first.doc_id").alias("doc_id"), F.struct("anchor", F.col("first.pos").alias("pos"), "strings").alias("w"), "kinds")
+    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("strings").alias("strings"), F.max("own").alias("any_own")).filter("kinds > 1 or any_own")
+    want = kinds.join(open_.select("anchor", "kinds"), "anchor").select(F.col("first.doc_id").alias("doc_id"), F.struct("anchor", F.col("first.pos").alias("pos"), "strings").alias("w"), "kinds")
     want = want.groupBy("doc_id").agg(F.collect_list("w").alias("want"))
     one = marked.select("doc_id", "text")
     if not marked.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows
         one = one.dropDuplicates(["doc_id"])
     texts = one.join(want, "doc_id").mapInArrow(_cut_out(width), "anchor long, doc_id long, pos long, segment binary")
     made = texts = _store.materialise(texts, "texts")
-    hot = _store.materialise(open_.filter(F.col("kinds") > contents).select("anchor"), "hot")
+    hot = _store.materialise(open_.filter((F.col("kinds") > contents) | (F.col("strings") > contents * STRINGS)).select("anchor"), "hot")
     marks = later
     if not hot.isEmpty():
         strings = texts.join(hot, "anchor", "left_semi").mapInArrow(_hashed_strings(width), "doc_id long, pos long, h1 long, h2 long")
