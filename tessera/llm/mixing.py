@@ -28,7 +28,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 SEED = "tessera"
-CELL_ROWS = 1_000_000
+CELL_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
