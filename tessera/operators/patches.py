@@ -35,7 +35,7 @@ def bottom_up(edits: DataFrame) -> DataFrame:
 def overlapping(edits: DataFrame) -> DataFrame:
     """Pairs (patch_id, a, b) of edits whose line ranges meet. An edit that lacks a line meets nothing.
 
-    The ranges of a patch are sorted; an edit is compared with those that start before it ends.
+    The range condition is part of the join on the patch, so only pairs that meet come out of it.
     """
     known = edits.filter("coalesce(start_line, 0) > 0 and coalesce(end_line, 0) > 0").select("patch_id", "ord", "start_line", "end_line")
     other = known.toDF("patch_id", "b", "b_start", "b_end")
