@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +59,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def doc_text(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The two columns an operator reads, under fixed names; other columns and their names do not matter."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Fewer rows in an Arrow batch for what is written meanwhile: whole texts are large, and work on them makes arrays several times their size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

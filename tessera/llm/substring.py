@@ -130,6 +130,11 @@ def _cut(width, gram):
 
 def substring_dedup(docs: DataFrame, width: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
+    with _store.small_batches(docs.sparkSession):
+        return _substring_dedup(docs, width, gram)
+
+
+def _substring_dedup(docs, width, gram):
     named = _store.doc_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
     scanned = _store.materialise(named.mapInArrow(_scan(width, gram), "doc_id long, n_words long, kept_sha256 string, anchors array<long>"), "anchors")
     stats = _store.materialise(scanned.drop("anchors"), "stats")
