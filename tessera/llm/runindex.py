@@ -19,8 +19,9 @@ each step gives the suffix row of a position, and the row's interval between two
 set of places whose match is at least 100 bytes long. All but the earliest place of an
 interval are repeated. The full suffix array is dropped once the runs are made.
 
-Anchors with more than ``CONTENTS`` contents (a very common passage in ever new contexts) or
-with very many strings (a huge periodic text) do not go to one task: the strings of their segments are hashed (128 bits) and counted in
+Long segments, which only periodic texts have, are cut into pieces; equal pieces are indexed
+once. Anchors with more than ``CONTENTS`` contents (a very common passage in ever new
+contexts) do not go to one task: the strings of their segments are hashed (128 bits) and counted in
 Spark, the exact way for the rest.
 
 Defined cases: null texts are empty; texts under 100 bytes stay whole; a null doc_id comes
@@ -42,7 +43,6 @@ from . import _store, _text
 WIDTH = 100
 GRAM = 48
 CONTENTS = 2000
-STRINGS = 100  # on average, of a content of an anchor that is indexed
 BATCH = 1 << 19  # bytes of segments in one index
 PIECE = 124  # strings of a segment that are indexed together
 FEW_IDS = 1_000_000  # so many marked documents are sent to every task at most
@@ -262,46 +262,60 @@ def _cut_out(width):
     return run
 
 
-def index_batch(doc_ids: np.ndarray, pos: np.ndarray, segments: list[bytes], width: int = WIDTH):
-    """(doc_id, start, end) of the repeated bytes in segments of whole anchors."""
-    # Long segments are cut into pieces that share all but one string's bytes: every string lies in one piece.
-    step = PIECE
-    parts = [(k, a) for k, x in enumerate(segments) for a in range(0, max(len(x) - width + 1, 1), step)]
-    which, at = (np.array(x, dtype=np.int64) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
-    segments = [segments[k][a : a + step + width - 1] for k, a in parts]
-    doc_ids, pos = doc_ids[which], pos[which] + at
-    _, rank = np.unique(doc_ids, return_inverse=True)
-    found = RunIndex(segments, width).repeated((rank.astype(np.int64) << 40) + pos)
-    out = [[], [], []]
-    for s, hit in enumerate(found):
-        if len(hit):
-            new = np.flatnonzero(np.concatenate([[True], hit[1:] != hit[:-1] + 1]))
-            start = hit[new] + pos[s]
-            end = hit[np.append(new[1:], len(hit)) - 1] + pos[s] + width
-            out[0].append(np.full(len(new), doc_ids[s]))
-            out[1].append(start)
-            out[2].append(end)
-    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+class Batch:
+    """Segments of whole anchors on their way into one index.
+
+    A long segment is cut into pieces that share all but one string's bytes, so every string
+    lies in one piece. Of equal pieces the earliest is indexed and the others are marked as
+    they are, which keeps periodic texts small.
+    """
+
+    def __init__(self, width: int = WIDTH):
+        self.width, self.first, self.marks, self.size = width, {}, [], 0
+
+    def add(self, doc_id: int, pos: int, segment: bytes) -> None:
+        for a in range(0, max(len(segment) - self.width + 1, 1), PIECE):
+            piece, at = segment[a : a + PIECE + self.width - 1], (doc_id, pos + a)
+            old = self.first.get(piece)
+            if old is None:
+                self.first[piece] = at
+                self.size += len(piece)
+            elif old != at:
+                self.first[piece], again = min(old, at), max(old, at)
+                self.marks.append((again[0], again[1], again[1] + len(piece)))
+
+    def finish(self) -> list[np.ndarray]:
+        """(doc_id, start, end) of the repeated bytes."""
+        places = np.array(list(self.first.values()), dtype=np.int64).reshape(-1, 2)
+        doc_ids, pos = places[:, 0], places[:, 1]
+        _, rank = np.unique(doc_ids, return_inverse=True)
+        found = RunIndex(list(self.first), self.width).repeated((rank.astype(np.int64) << 40) + pos) if len(places) else []
+        out = [[np.array([m[k] for m in self.marks], dtype=np.int64)] for k in range(3)]
+        for s, hit in enumerate(found):
+            if len(hit):
+                new = np.flatnonzero(np.concatenate([[True], hit[1:] != hit[:-1] + 1]))
+                out[0].append(np.full(len(new), doc_ids[s]))
+                out[1].append(hit[new] + pos[s])
+                out[2].append(hit[np.append(new[1:], len(hit)) - 1] + pos[s] + self.width)
+        return [np.concatenate(x) for x in out]
 
 
 def _index(width):
     """Marks of the segments of a partition, sorted by anchor, in batches of whole anchors."""
 
-    def out(rows):
-        marks = index_batch(np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], width)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in marks], ["doc_id", "a", "b"])
+    def out(batch):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in batch.finish()], ["doc_id", "a", "b"])
 
     def run(batches):
-        held, size = [], 0
+        held, last = Batch(width), None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "pos", "segment")), strict=True):
-                if size >= BATCH and row[0] != held[-1][0]:
+            for anchor, doc_id, pos, segment in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "pos", "segment")), strict=True):
+                if held.size >= BATCH and anchor != last:
                     yield out(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield out(held)
+                    held = Batch(width)
+                held.add(doc_id, pos, segment)
+                last = anchor
+        yield out(held)
 
     return run
 
@@ -343,7 +357,7 @@ def repeated_marks(marked: DataFrame, width: int = WIDTH, gram: int = GRAM, cont
     many = kinds.filter("n > 1").select("anchor", "content", "first")
     later = seen.join(many, ["anchor", "content"]).filter(place != F.col("first")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + F.col("strings") + width - 1).alias("b"))
     # The first occurrences where an anchor has several contents or comes twice in a document.
-    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("strings").alias("strings"), F.max("own").alias("any_own")).filter("kinds > 1 or any_own")
+    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("own").alias("any_own")).filter("kinds > 1 or any_own")
     want = kinds.join(open_.select("anchor", "kinds"), "anchor").select(F.col("first.doc_id").alias("doc_id"), F.struct("anchor", F.col("first.pos").alias("pos"), "strings").alias("w"), "kinds")
     want = want.groupBy("doc_id").agg(F.collect_list("w").alias("want"))
     one = marked.select("doc_id", "text")
@@ -351,7 +365,7 @@ def repeated_marks(marked: DataFrame, width: int = WIDTH, gram: int = GRAM, cont
         one = one.dropDuplicates(["doc_id"])
     texts = one.join(want, "doc_id").mapInArrow(_cut_out(width), "anchor long, doc_id long, pos long, segment binary")
     made = texts = _store.materialise(texts, "texts")
-    hot = _store.materialise(open_.filter((F.col("kinds") > contents) | (F.col("strings") > contents * STRINGS)).select("anchor"), "hot")
+    hot = _store.materialise(open_.filter(F.col("kinds") > contents).select("anchor"), "hot")
     marks = later
     if not hot.isEmpty():
         strings = texts.join(hot, "anchor", "left_semi").mapInArrow(_hashed_strings(width), "doc_id long, pos long, h1 long, h2 long")
@@ -368,6 +382,11 @@ def repeated_marks(marked: DataFrame, width: int = WIDTH, gram: int = GRAM, cont
 
 def byte_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, contents: int = CONTENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+    with _store.small_batches(docs.sparkSession):
+        return _byte_dedup(docs, width, gram, contents)
+
+
+def _byte_dedup(docs, width, gram, contents):
     named = _store.doc_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
     scanned = _store.materialise(named.mapInArrow(_scan(width, gram), "doc_id long, n_bytes long, kept_sha256 string, anchors array<long>"), "anchors")
     stats = _store.materialise(scanned.drop("anchors"), "stats")

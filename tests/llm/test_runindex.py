@@ -76,3 +76,18 @@ def test_null_ids_repeated_rows_and_empty(spark, docs, no_docs):
     text = "".join(map(str, range(60)))
     rows = spark.createDataFrame([(None, text), (8, text)], "doc_id long, text string")
     assert {(r["doc_id"], r["n_removed"]) for r in runindex.byte_dedup(rows).collect()} == {(None, 110), (8, 0)}
+
+
+def test_periodic_texts_stay_small():
+    r = random.Random(6)
+    unit = bytes(r.choice(b"abcdef") for _ in range(7))
+    batch = runindex.Batch(100)
+    texts = {1: unit * 3000, 2: unit * 2000 + b"tail", 3: b"x" + unit * 40}
+    for i, t in texts.items():
+        batch.add(i, 0, t)
+    assert batch.size < 12_000
+    gone = {i: np.zeros(len(t), bool) for i, t in texts.items()}
+    for d, a, b in zip(*(x.tolist() for x in batch.finish())):
+        gone[d][a:b] = True
+    want = {i: n for i, _, n, _, _ in brute([(i, t.decode()) for i, t in texts.items()], 100)}
+    assert {i: int(g.sum()) for i, g in gone.items()} == want
