@@ -64,14 +64,16 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", order: s
     spread = docs.count() // CELL_ROWS + 1
     d = docs.select(F.struct("*").alias("row"), F.col(f"`{order}`").alias("order"), sizes(F.col(f"`{text}`")).alias("size"), F.col(f"`{source}`").cast("string").alias("source"))
     d = d.withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int")).withColumn("cell", F.pmod(F.coalesce(F.col("order").cast("long"), F.lit(0)), F.lit(spread)).cast("int"))
-    cells = _store.materialise(d.groupBy("source", "class", "cell").agg(F.count("*").alias("rows"), F.sum("size").alias("words")), "cells")
+    # The same plain keys for the window and the join, so that texts are shuffled once; a null source has a key of its own.
+    d = d.withColumn("place", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    cells = _store.materialise(d.groupBy("place", "source", "class", "cell").agg(F.count("*").alias("rows"), F.sum("size").alias("words")), "cells")
     before = Window.partitionBy("source").orderBy("class", "cell").rowsBetween(Window.unboundedPreceding, -1)
     goals = targets(cells.groupBy(F.col("source").alias("mix_source")).agg(F.sum("words").alias("source_size")), weights, share, cap)
     plan = cells.withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     plan = plan.join(goals, plan["source"].eqNullSafe(goals["mix_source"])).select(
-        F.col("source").alias("p_source"), F.col("class").alias("p_class"), F.col("cell").alias("p_cell"), "first", "source_size", "target")
-    rank = F.row_number().over(Window.partitionBy("source", "class", "cell").orderBy("size", "order")) - 1
-    d = d.withColumn("rank", rank).join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("class") == F.col("p_class")) & (F.col("cell") == F.col("p_cell")))
+        "place", "class", "cell", "first", "source_size", "target")
+    rank = F.row_number().over(Window.partitionBy("place", "class", "cell").orderBy("size", "order")) - 1
+    d = d.withColumn("rank", rank).join(plan, ["place", "class", "cell"])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("first") + F.col("rank")
     u = offset(F.col("source"))
