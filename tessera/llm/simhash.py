@@ -309,10 +309,14 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) ->
     return rows.join(named, "fp")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
-    """The rows of ``docs`` that stay: the one with the smallest doc_id of each component (of its repeated rows, one)."""
-    named = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    groups = _store.materialise(near_groups(named, shingle, limit), "groups")
+def named_rows(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """row (a struct of all columns), doc_id and text of every row."""
+    return docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def first_rows(named: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows that stay: the one with the smallest doc_id of each component (of its repeated rows, one)."""
+    groups = _store.materialise(groups, "groups")
     stays = groups.groupBy("component_id").agg(F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("n"))
     repeated = not stays.filter("n <> 1").isEmpty()
     dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
@@ -320,6 +324,12 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shin
     return kept.groupBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).agg(F.first("row").alias("row")).select("row.*") if repeated else kept.select("row.*")
 
 
+def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+    """The rows of ``docs`` that stay: the one with the smallest doc_id of each component (of its repeated rows, one)."""
+    named = named_rows(docs, text, id_col)
+    return first_rows(named, near_groups(named, shingle, limit))
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document, four-word shingles, four differing bits or fewer."""
     groups = near_groups(_store.table(spark, sf_dir, "documents"))
