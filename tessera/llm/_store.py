@@ -61,6 +61,26 @@ def doc_text(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
+def keyed_text(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, mark and text. Doc_id and mark (a hash of the text) name a row, also where doc_ids are null or repeat; rows with both equal share one fate."""
+    return doc_text(docs, text, id_col).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], rows: int = 1_000_000, few: int = 100_000) -> DataFrame:
+    """Inner join with a written ``right`` that has one row a key and ``n``, the key's rows in ``left``; n goes.
+
+    Keys with more than ``rows`` rows are salted by a hash of ``by``, so none lands in one task. Those keys are at most
+    the rows of ``left`` over ``rows``; up to ``few`` of them are sent to every task, beyond that a join marks the rows.
+    """
+    hot = materialise(right.filter(F.col("n") > rows).select(*keys, F.ceil(F.col("n") / rows).cast("int").alias("cuts")), "hot")
+    if hot.isEmpty():
+        return left.join(right.drop("n"), keys)
+    hot_keys = F.broadcast(hot) if hot.limit(few + 1).count() <= few else hot
+    salted = left.join(hot_keys, keys, "left").withColumn("salt", F.pmod(F.xxhash64(*by), F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts")
+    last = F.greatest(F.ceil(F.col("n") / rows).cast("int"), F.lit(1)) - 1
+    return salted.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("n"), [*keys, "salt"]).drop("salt")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000):
     """Fewer rows in an Arrow batch for what is written meanwhile: whole texts are large, and work on them makes arrays several times their size."""

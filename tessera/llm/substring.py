@@ -4,27 +4,32 @@ A window is 50 consecutive words of one document. A window is repeated if its wo
 start in a document with a smaller doc_id; the words that repeated windows cover are removed,
 overlapping windows merging into maximal intervals.
 
-Every window's hash is two 64-bit rolling polynomials over word hashes. Before windows are
-shuffled for counting, those that cannot be repeated are set aside, exactly: of the 35
-16-word grams in a window, the one with the smallest hash is its anchor; equal windows have
-equal anchors, so a window whose anchor occurs in one document only occurs in no other.
-Runs of windows share an anchor, which makes the anchors some 18 times fewer than the words.
+Every window has a Rabin-Karp key, rolled over keys of its words modulo two primes, and a
+BLAKE2 digest of its very words, which stands in for comparing them: windows are taken for
+equal only if both agree, so no run of words that collides under the rolling hash is removed.
+Before windows are shuffled for counting, those that cannot be repeated are set aside,
+exactly: of the 35 16-word grams in a window, the one with the smallest hash is its anchor;
+equal windows have equal anchors, so a window whose anchor occurs in one document only occurs
+in no other. Runs of windows share an anchor, which makes the anchors some 18 times fewer
+than the words.
 
 1. scan: words, digest of the unchanged words, distinct anchors of each document
 2. anchors found in two documents or more (a partial aggregation before the shuffle)
-3. documents with such anchors: hashes of the windows under them, counted with their
-   smallest doc_id (again pre-aggregated)
-4. per document, the hashes of its repeated windows; the words are marked and cut
+3. documents with such anchors: keys of the windows under them, counted with their smallest
+   doc_id (again pre-aggregated)
+4. per document, the places of its repeated windows, merged into intervals and cut out
+
+An anchor or a window with very many rows is salted when rows meet it.
 
 Defined cases: null and blank texts have no words; texts of fewer than 50 words have no
-window; a null doc_id comes after all others; repeated rows with one doc_id do not remove
-each other; empty input gives an empty result; other columns are ignored.
+window; a null doc_id comes after all others; rows that share a doc_id (or have none) do not
+remove each other, and each is cut by itself; empty input gives an empty result; other
+columns are untouched.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +42,33 @@ WINDOW = 50
 GRAM = 16
 LAST = (1 << 63) - 1
 FEW_IDS = 1_000_000  # so many marked documents are sent to every task at most
-OTHER = np.uint64(0xA0761D6478BD642F)
+ROW = ["doc_id", "mark"]
+SPANS = "array<struct<start:int,end:int>>"
 
 
-def _sha(tokens: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(tokens)).hexdigest()
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans=()) -> bytes:
+    """The words of a text joined by one space each, without those in the word intervals ``spans``."""
+    keep = ~_text.SPACE[data]
+    lead = np.zeros(len(data) + 1, dtype=bool)  # lead[i]: a kept word starts at i
+    lead[starts] = True
+    for a, b in spans:
+        keep[starts[a] : ends[b - 1]] = False
+        lead[starts[a] : ends[b - 1]] = False
+    first = int(np.argmax(lead)) if lead.any() else 0
+    lead[first] = False
+    keep[:-1] |= lead[1:-1]  # the sign before every kept word but the first
+    return np.where(_text.SPACE[data], np.uint8(32), data)[keep].tobytes()
 
 
 def _window_table(buf, offsets, width, gram):
-    """Word hashes of a block; of each window its document, start and anchor; and the words' index by document."""
+    """Word hashes of a block; of each window its document, start and anchor; the words' places and their index by document."""
     starts, ends, first = _text.words(buf, offsets)
     wh = _text.word_hashes(buf, starts, ends)
     anchor = _text.sliding_min(_text.window_hashes(wh, gram, seed=11), width - gram + 1)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(anchor)]
     at = np.arange(len(anchor))
     inside = at + width <= first[1:][doc]
-    return wh, doc[inside], at[inside], anchor[inside], first
+    return wh, doc[inside], at[inside], anchor[inside], starts, ends, first
 
 
 def _scan(width, gram):
@@ -61,106 +77,155 @@ def _scan(width, gram):
             buf, offsets = _text.text_buffer(batch.column("text"))
             for i, j in _text.blocks(offsets):
                 data, offs = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                _, doc, _, anchor, _ = _window_table(data, offs, width, gram)
+                _, doc, _, anchor, starts, ends, first = _window_table(data, offs, width, gram)
                 new = np.ones(len(doc), dtype=bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
                 d, v, _ = _text.sorted_pairs(doc[new], anchor[new])
                 cuts = np.searchsorted(d, np.arange(j - i + 1))
-                raw = data.tobytes()
-                tokens = [raw[a:b].split() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                sha = []
+                for k in range(j - i):
+                    a, b = first[k], first[k + 1]
+                    sha.append(hashlib.sha256(joined_words(data[offs[k] : offs[k + 1]], starts[a:b] - offs[k], ends[a:b] - offs[k])).hexdigest())
                 anchors = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(v.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array([len(t) for t in tokens], pa.int64()), pa.array([_sha(t) for t in tokens]), anchors], ["doc_id", "n_words", "kept_sha256", "anchors"]
+                    [batch.column("doc_id").slice(i, j - i), batch.column("mark").slice(i, j - i), pa.array(np.diff(first)), pa.array(sha, pa.string()), anchors], [*ROW, "n_words", "kept_sha256", "anchors"]
                 )
 
     return run
 
 
-def _hashes(wh, at, width):
-    """Both hashes of the windows that start at ``at``."""
-    return [_text.mix(_text.spans_hash(wh, at, at + width, base), seed).view(np.int64) for base, seed in ((_text.STEP, 1), (OTHER, 2))]
-
-
-def _per_document(batch, column, width, gram):
-    """(row, words of the row, hashes...) for each document of a batch whose list ``column`` names what to look for."""
-    buf, offsets = _text.text_buffer(batch.column("text"))
-    for i, j in _text.blocks(offsets):
-        wh, doc, at, anchor, first = _window_table(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, gram)
-        cuts = np.searchsorted(doc, np.arange(j - i + 1))
-        for k in range(j - i):
-            a, b = cuts[k], cuts[k + 1]
-            wanted = batch.column(column)[i + k].values
-            yield i + k, wh, at[a:b], anchor[a:b], first[k], np.asarray(wanted) if wanted is not None else np.zeros(0, np.int64), buf[offsets[i + k] : offsets[i + k + 1]]
-
-
 def _windows(width, gram):
+    """Row, place, key and digest of the windows under the anchors that each document names."""
+    blake = hashlib.blake2b
+
     def run(batches):
         for batch in batches:
-            ids, h1, h2 = [], [], []
-            doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for row, wh, at, anchor, _, wanted, _ in _per_document(batch, "anchors", width, gram):
-                at = at[np.isin(anchor.view(np.int64), wanted)]
-                a, b = _hashes(wh, at, width)
-                ids.append(np.full(len(at), doc_ids[row]))
-                h1.append(a)
-                h2.append(b)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, h1, h2)], ["doc_id", "h1", "h2"])
+            buf, offsets = _text.text_buffer(batch.column("text"))
+            ids, marks, wanted = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy(), batch.column("anchors")
+            for i, j in _text.blocks(offsets):
+                data, offs = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                wh, doc, at, anchor, starts, ends, first = _window_table(data, offs, width, gram)
+                cuts = np.searchsorted(doc, np.arange(j - i + 1))
+                keys = _text.window_keys(wh, width).view(np.int64)
+                for k in range(j - i):
+                    mine = slice(cuts[k], cuts[k + 1])
+                    own = at[mine][np.isin(anchor[mine].view(np.int64), wanted[i + k].values.to_numpy())]
+                    if not len(own):
+                        continue
+                    s, e = starts[first[k] : first[k + 1]] - offs[k], ends[first[k] : first[k + 1]] - offs[k]
+                    raw, pos = joined_words(data[offs[k] : offs[k + 1]], s, e), own - first[k]
+                    upto = np.cumsum(e - s + 1) - 1  # where each word ends in the joined words
+                    digest = [blake(raw[a:b], digest_size=8).digest() for a, b in zip((upto - (e - s))[pos].tolist(), upto[pos + width - 1].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(own), ids[i + k])), pa.array(np.full(len(own), marks[i + k])), pa.array(pos.astype(np.int32)), pa.array(keys[own]), pa.array(np.frombuffer(b"".join(digest), np.int64))],
+                        [*ROW, "pos", "key", "digest"],
+                    )
 
     return run
 
 
-def _cut(width, gram):
+def _merge(width):
+    """Maximal word intervals covered by windows that start at the places of each row."""
+
     def run(batches):
         for batch in batches:
             out = []
-            for _, wh, at, _, first, wanted, data in _per_document(batch, "repeated", width, gram):
-                tokens = data.tobytes().split()
-                hit = at[np.isin(_hashes(wh, at, width)[0], wanted)] - first
-                edge = np.zeros(len(tokens) + 1, dtype=np.int64)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + width, -1)
-                keep = np.cumsum(edge[:-1]) == 0
-                out.append((len(tokens), int(len(tokens) - keep.sum()), _sha(list(compress(tokens, keep.tolist())))))
-            n, gone, sha = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            for places in batch.column("places"):
+                p = np.unique(places.values.to_numpy())
+                new = np.flatnonzero(np.concatenate([[True], p[1:] > p[:-1] + width]))
+                out.append([{"start": int(a), "end": int(b) + width} for a, b in zip(p[new], p[np.append(new[1:], len(p)) - 1], strict=True)])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(out, kind)], [*ROW, "spans"])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, width: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    with _store.small_batches(docs.sparkSession):
-        return _substring_dedup(docs, width, gram)
-
-
-def _substring_dedup(docs, width, gram):
-    named = _store.doc_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    scanned = _store.materialise(named.mapInArrow(_scan(width, gram), "doc_id long, n_words long, kept_sha256 string, anchors array<long>"), "anchors")
-    stats = _store.materialise(scanned.drop("anchors"), "stats")
-    anchors = scanned.select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    marked = _store.materialise(anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "found", free=True)
-    _store.discard(scanned)
-    few = marked.limit(FEW_IDS + 1).count() <= FEW_IDS
-    texts = named.join(F.broadcast(marked.select("doc_id")), "doc_id", "left_semi") if few else named
-    some = _store.materialise(texts.join(marked, "doc_id"), "marked", free=True)
+def _cut(batches):
+    """The text of each row without its word intervals, with the counts and the digest of what is left."""
+    for batch in batches:
+        out = []
+        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+            starts, ends, _ = _text.words(data, np.array([0, len(data)], np.int64))
+            spans = [(s["start"], s["end"]) for s in spans]
+            left = joined_words(data, starts, ends, spans)
+            out.append((len(starts), sum(b - a for a, b in spans), hashlib.sha256(left).hexdigest(), left.decode()))
+        n, gone, sha, left = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.string())], [*ROW, "n_words", "n_removed", "kept_sha256", "cleaned"]
+        )
+
+
+def scanned(named: DataFrame, width: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Row, n_words, kept_sha256 (of all words) and anchors of every row of ``keyed_text``."""
+    return named.mapInArrow(_scan(width, gram), "doc_id long, mark long, n_words long, kept_sha256 string, anchors array<long>")
+
+
+def _named(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    return _store.keyed_text(docs, text, id_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+
+
+def _only(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``named`` that ``rows`` has, picked before the shuffle where their ids are few."""
+    few = rows.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return named.join(F.broadcast(rows.select(*ROW)), ROW, "left_semi") if few else named
+
+
+def repeated_spans(named: DataFrame, found: DataFrame, width: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, mark, spans): the word intervals to remove, of each row that has any; ``found`` as ``scanned``, written."""
+    anchors = found.select(*ROW, F.explode("anchors").alias("anchor"))
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("anchor", "n")
+    shared = _store.materialise(shared, "shared", free=True)
+    marked = _store.spread_join(anchors, shared, ["anchor"], ROW).groupBy(*ROW).agg(F.collect_set("anchor").alias("anchors"))
+    marked = _store.materialise(marked, "found", free=True)
+    _store.discard(shared)
+    some = _store.materialise(_only(named, marked).join(marked, ROW), "marked", free=True)
     _store.discard(marked)
-    windows = some.mapInArrow(_windows(width, gram), "doc_id long, h1 long, h2 long")
-    firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
+    windows = some.mapInArrow(_windows(width, gram), "doc_id long, mark long, pos int, key long, digest long")
+    firsts = windows.groupBy("key", "digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").drop("hi")
     firsts = _store.materialise(firsts, "firsts", free=True)
-    repeated = windows.join(firsts, ["h1", "h2"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("h1").alias("repeated"))
-    repeated = _store.materialise(repeated, "repeated", free=True)
-    _store.discard(firsts)
-    cut = _store.materialise(some.select("doc_id", "text").join(repeated, "doc_id").mapInArrow(_cut(width, gram), "doc_id long, n_words long, n_removed long, kept_sha256 string"), "cut")
-    _store.discard(some, repeated)
-    whole = stats.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
-    return whole.unionByName(cut).withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
+    hits = _store.spread_join(windows, firsts, ["key", "digest"], [*ROW, "pos"]).filter("doc_id > lo")
+    spans = hits.groupBy(*ROW).agg(F.collect_list("pos").alias("places")).mapInArrow(_merge(width), f"doc_id long, mark long, spans {SPANS}")
+    spans = _store.materialise(spans, "spans", free=True)
+    _store.discard(firsts, some)
+    return spans
+
+
+def cleaned(named: DataFrame, spans: DataFrame) -> DataFrame:
+    """Row, n_words, n_removed, kept_sha256 and cleaned (the text that is left) of the rows with intervals to remove."""
+    rows = _only(named, spans).join(spans, ROW)
+    return rows.mapInArrow(_cut, "doc_id long, mark long, n_words long, n_removed long, kept_sha256 string, cleaned string")
+
+
+def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs``: their text without repeated passages (words joined by one space, unchanged where nothing goes), and ``removed_spans``, the word intervals cut."""
+    with _store.small_batches(docs.sparkSession):
+        named = _named(docs, text, id_col)
+        spans = repeated_spans(named, _store.materialise(scanned(named, width, gram), "anchors"), width, gram)
+        cut = _store.materialise(cleaned(named, spans).select(*ROW, "cleaned").dropDuplicates(ROW).join(spans, ROW), "cut")
+    whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("mark"))
+    both = whole.join(cut, ROW, "left")
+    changed = F.when(F.col("spans").isNull(), F.col("row").getField(text)).otherwise(F.col("cleaned"))
+    columns = [changed.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return both.select(*columns, F.coalesce("spans", F.array().cast(SPANS)).alias("removed_spans"))
+
+
+def digests(docs: DataFrame, width: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 (of the words left, joined by one space) of every row."""
+    named = _named(docs)
+    with _store.small_batches(docs.sparkSession):
+        found = _store.materialise(scanned(named, width, gram), "anchors")
+        stats = _store.materialise(found.drop("anchors"), "stats")
+        spans = repeated_spans(named, found, width, gram)
+        cut = _store.materialise(cleaned(named, spans).drop("cleaned"), "cut")
+    _store.discard(found)
+    whole = stats.select(*ROW, "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").join(spans.select(*ROW), ROW, "left_anti")
+    return whole.unionByName(cut).select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def op4_rabin_karp(spark, sf_dir: str) -> DataFrame:
     """All documents without the 50-word passages that occur in an earlier document."""
-    return substring_dedup(_store.table(spark, sf_dir, "documents"))
+    return digests(_store.table(spark, sf_dir, "documents"))
 
 
 OP4_SQL = r"""
