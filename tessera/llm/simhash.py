@@ -21,8 +21,9 @@ holds more than two blocks of a bucket.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like any other; with
 fewer words than a shingle the whole sequence is the one shingle; repeated rows are linked
-as copies; empty input gives an empty result; other columns are untouched. When rows are
-dropped, rows that share a doc_id (or have none) share one fate.
+as copies; a null doc_id comes after all others; empty input gives an empty result; other
+columns are untouched. When rows are dropped, a row is named by its doc_id and text, so rows
+that share a doc_id (or have none) are judged one by one.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import _store, _text
 from .components import components
+from .exact import keep_rows
 
 BITS = 64
 LIMIT = 4
@@ -68,14 +70,14 @@ def _fingerprint(shingle: int):
     def run(batches):
         for batch in batches:
             out = [0 if t is None else text_fingerprint(t.encode(), shingle) for t in (x.as_py() for x in batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(out, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(np.array(out, dtype=np.uint64).view(np.int64))], ["doc_id", "mark", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
-    return _store.doc_text(docs).mapInArrow(_fingerprint(shingle), "doc_id long, fp long")
+    """doc_id, mark and fp (the 64 bits as a signed long) of every row."""
+    return _store.keyed_text(docs).mapInArrow(_fingerprint(shingle), "doc_id long, mark long, fp long")
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -297,37 +299,37 @@ def _verified(probes: DataFrame, limit: int) -> DataFrame:
     return spread.mapInArrow(_verify(limit), "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) of every row."""
-    rows = _store.materialise(fingerprints(docs, shingle), "simhash")
-    nodes = _store.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")), "distinct")
-    found = components(links(nodes, limit))
-    # A component's id is its smallest doc_id; fingerprints without a link keep their own.
-    joined = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    ids = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = joined.join(ids, "component").select("fp", "component_id")
-    return rows.join(named, "fp")
+def early() -> F.Column:
+    """The order in which rows of a group come: the first one stays."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
+
 
+def name_groups(rows: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """doc_id, mark, node, component_id (smallest doc_id reachable) and kept of every row.
 
-def named_rows(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """row (a struct of all columns), doc_id and text of every row."""
-    return docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    ``rows``: doc_id, mark, node, written; ``found``: (node, component) of the nodes with a link.
+    """
+    nodes = _store.materialise(rows.groupBy(node).agg(F.min(early()).alias("first"), F.count("*").alias("n")), "nodes")
+    linked = found.select(F.col("node").alias("linked"), "component")
+    joined = nodes.join(linked, F.col(node) == F.col("linked"), "left").select(node, "first", "n", F.coalesce("component", node).alias("component"))
+    joined = _store.materialise(joined, "named")
+    sizes = joined.groupBy("component").agg(F.min("first").alias("lead"), F.count("*").alias("n"))
+    named = _store.spread_join(joined.withColumnRenamed("n", "members"), _store.materialise(sizes, "components"), ["component"], [node]).select(node, "lead", F.col("members").alias("n"))
+    out = _store.spread_join(rows, _store.materialise(named, "leads"), [node], ["doc_id", "mark"])
+    kept = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("mark") == F.col("lead.mark"))
+    return out.select("doc_id", "mark", node, F.col("lead.doc_id").alias("component_id"), kept.alias("kept"))
 
 
-def first_rows(named: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows that stay: the one with the smallest doc_id of each component (of its repeated rows, one)."""
-    groups = _store.materialise(groups, "groups")
-    stays = groups.groupBy("component_id").agg(F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("n"))
-    repeated = not stays.filter("n <> 1").isEmpty()
-    dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    kept = named.join(dropped, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    return kept.groupBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).agg(F.first("row").alias("row")).select("row.*") if repeated else kept.select("row.*")
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+    """doc_id, mark, fp, component_id (smallest doc_id reachable) and kept of every row."""
+    rows = _store.materialise(fingerprints(docs, shingle), "simhash")
+    distinct = _store.materialise(rows.select("fp").distinct(), "distinct")
+    return name_groups(rows, components(links(distinct, limit)), "fp")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """The rows of ``docs`` that stay: the one with the smallest doc_id of each component (of its repeated rows, one)."""
-    named = named_rows(docs, text, id_col)
-    return first_rows(named, near_groups(named, shingle, limit))
+    return keep_rows(docs, near_groups(_store.doc_text(docs, text, id_col), shingle, limit), text, id_col)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 import corpus_pipeline
-from tessera.llm import overlap
+from tessera.llm import overlap, simhash
 
 from .conftest import SCHEMA
 
@@ -51,8 +53,10 @@ def rows(spark, texts):
     return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "r", 1, 2) for i, t in enumerate(texts)], SCHEMA)
 
 
-def test_groups_are_those_of_all_pairs(spark, texts, monkeypatch):
+@pytest.mark.parametrize("bucket", [8192, 3])
+def test_groups_are_those_of_all_pairs(spark, texts, monkeypatch, bucket):
     monkeypatch.setattr(overlap, "PIVOT_ROWS", 2)
+    monkeypatch.setattr(overlap, "BUCKET", bucket)
     data = edited() + texts
     want = brute_first(brute_sets(data))
     assert {r["doc_id"]: r["component_id"] for r in overlap.near_groups(rows(spark, data)).collect()} == want
@@ -70,3 +74,14 @@ def test_dedup_keeps_columns_and_copies(docs, texts, no_docs):
     assert overlap.near_dedup(docs).columns == docs.columns
     assert overlap.near_dedup(docs.union(docs)).count() == len(want)
     assert overlap.near_dedup(no_docs).count() == 0
+
+
+FIVE = [(3, "a b c d e f g"), (7, "A b  c d e f g"), (7, "quite another text that resembles nothing"), (None, "a b c d e f g"), (None, "one more text of its own kind")]
+
+
+@pytest.mark.parametrize("dedup", [overlap.near_dedup, simhash.near_dedup])
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, dedup):
+    got = dedup(spark.createDataFrame(FIVE, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == {FIVE[0], FIVE[2], FIVE[4]}
+    twice = dedup(spark.createDataFrame(FIVE + FIVE, "doc_id long, text string"))
+    assert sorted(map(str, twice.collect())) == sorted(map(str, got.collect()))
