@@ -1,19 +1,21 @@
 """Fixed virtual slots: a versioned slot-to-shard map edited when rebalancing.
 
-Records hash into a fixed number of virtual slots by doc_id. Bytes are aggregated per slot
-(partial sums before the shuffle), and the map from slots to shards is a small table of
-``slots`` rows a version. Version 1 deals slots out in turn. A rebalance writes the next
-version: slots are visited by falling size, stay at home while the home has room below the
-mean load, and otherwise move to the least loaded shard. Only the map changes; a reader
-finds a record's shard from its slot and a map version.
+Records hash into a fixed number of virtual slots by doc_id, text and, where rows repeat
+both, the number of the repeat. Bytes are aggregated per slot (partial sums before the
+shuffle), and the map from slots to shards is a small table of ``slots`` rows a version.
+Version 1 deals slots out in turn. A rebalance writes the next version: slots are visited by
+falling size, stay at home while the home has room below the mean load, and otherwise move to
+the least loaded shard. Only the map changes; a reader finds a record's shard from its slot
+and a map version. ``shard`` keeps the map in a folder: the first call there makes versions 1
+and 2, every later one adds a version made of the newest.
 
 All steps are DataFrame functions. The only ordered fold runs over the ``slots`` rows of
 the map, a constant. Positions within a shard come from counts per slot and a rank within
 a slot, so no task ever holds a whole shard.
 
-Defined cases: a null text has size 1 and checksum 0; a null doc_id hashes like any value;
-repeated rows are placed like any other rows; empty input gives an empty result; other
-columns are ignored.
+Defined cases: a null text has size 1 and checksum 0; rows without a doc_id, with a repeated
+one, or repeated as a whole spread over the slots like all others; empty input gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +30,18 @@ SHARDS = 16
 
 
 def with_slot(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1), text_crc32 and the virtual slot of each record."""
-    data = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    return _store.doc_text(docs).select(
-        "doc_id",
-        (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long").alias("size"),
-        F.crc32(data).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+    """doc_id, size (UTF-8 bytes plus 1), text_crc32 and the virtual slot of each record.
+
+    Rows that repeat doc_id and text are counted and dealt out again under numbers of their own.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = _store.doc_text(docs).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(F.col("text")).alias("mark"),
+    )
+    counted = rows.groupBy("doc_id", "size", "text_crc32", "mark").agg(F.count("*").alias("copies"))
+    numbered = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    slot = F.pmod(F.xxhash64("doc_id", "mark", "copy"), F.lit(slots)).cast("int")
+    return numbered.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def slot_sizes(records: DataFrame) -> DataFrame:
@@ -98,12 +104,27 @@ def place(records: DataFrame, map_df: DataFrame) -> DataFrame:
     return records.withColumn("rank", rank).join(F.broadcast(offsets), "virtual_slot").withColumn("slot", (F.col("first") + F.col("rank") - 1).cast("long")).drop("rank", "first")
 
 
+def shard(docs: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """Each record's shard and position by the map stored under ``path``, which gets a new version for these records.
+
+    A map that is there is edited: its slots stay where they are as far as the loads and the number of shards allow.
+    """
+    spark = docs.sparkSession
+    records = _store.materialise(with_slot(docs, slots), "records")
+    sizes = slot_sizes(records)
+    if not _store.exists(spark, path):
+        store_map(first_map(sizes, slots, shards), path)
+        now = load_map(spark, path, 1)
+    else:
+        old = load_map(spark, path).select("map_version", "virtual_slot", "shard")
+        now = old.join(sizes, "virtual_slot", "left").na.fill(0, ["bytes", "rows"])
+    store_map(rebalance(now, shards), path)
+    return place(records, load_map(spark, path))
+
+
 def op8_virtual_slots(spark, sf_dir: str) -> DataFrame:
     """All documents in 16 shards under the law ``bytes``, by a rebalanced map of 4,096 virtual slots."""
-    records = with_slot(_store.table(spark, sf_dir, "documents"))
     path = f"{_store.shared_dir(spark)}/tessera-slot-map-{_store.uuid.uuid4().hex}"
-    store_map(first_map(slot_sizes(records)), path)
-    store_map(rebalance(load_map(spark, path, 1)), path)
-    return place(records, load_map(spark, path)).select(
+    return shard(_store.table(spark, sf_dir, "documents"), path).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
     )

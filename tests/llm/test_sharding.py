@@ -18,6 +18,35 @@ def test_query(spark, folder, texts):
     assert all(len(v) == 1 for v in homes.values())
     assert {r["law"] for r in rows} == {"bytes"} and all(r["grown_shard"] is None for r in rows)
     assert set(slots) <= set(range(16))
+    # The fold again: slots by falling size, at home below the mean, else to the least loaded shard.
+    size, mean, loads, want = defaultdict(int), -(-sum(load.values()) // 16), [0] * 16, {}
+    for r in rows:
+        size[r["virtual_slot"]] += r["size"]
+    for slot in sorted(range(sharding.SLOTS), key=lambda v: (-size[v], v)):
+        to = slot % 16 if loads[slot % 16] + size[slot] <= mean else loads.index(min(loads))
+        loads[to] += size[slot]
+        want[slot] = to
+    assert all(r["shard"] == want[r["virtual_slot"]] for r in rows)
+
+
+def test_null_and_repeated_ids_spread(spark):
+    rows = [(None, f"t{i} " * 5) for i in range(3000)] + [(7, "same text")] * 3000 + [(None, None)] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    loads = defaultdict(int)
+    placed = sharding.place(sharding.with_slot(docs), sharding.rebalance(sharding.first_map(sharding.slot_sizes(sharding.with_slot(docs))))).collect()
+    for r in placed:
+        loads[r["shard"]] += r["size"]
+    assert len(placed) == 9000 and len(loads) == 16 and max(loads.values()) - min(loads.values()) < 0.02 * sum(loads.values()) / 16
+
+
+def test_a_later_call_edits_the_stored_map(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('word ', 1 + cast(pmod(xxhash64(id), 300) as int)) as text")
+    path = f"{tmp_path}/map"
+    before = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, path).collect()}
+    after = {r["doc_id"]: (r["shard"], r["map_version"]) for r in sharding.shard(docs, path, shards=20).collect()}
+    assert {v for _, v in after.values()} == {3} and {s for s, _ in after.values()} == set(range(20))
+    moved = sum(before[i] != s for i, (s, _) in after.items())
+    assert moved < 0.35 * len(before)  # a fifth has to go
 
 
 def test_shards_are_near_equal_and_most_slots_stay(spark, tmp_path):
