@@ -8,38 +8,89 @@ from hypothesis import strategies as st
 from tessera.llm import packing
 
 
-def brute(items, lengths):
-    """The same rule, bin by bin."""
-    rooms, used, bins, rest = [], [], [], sum(items)
+def cost(used, lengths):
+    return sum(packing.cost(packing.fitting(u, lengths)) for u in used)
+
+
+def optimum(items, lengths):
+    """The least cost over all ways to deal a few items into bins."""
+    best = float("inf")
+
+    def deal(k, loads):
+        nonlocal best
+        if k == len(items):
+            best = min(best, cost(loads, lengths))
+            return
+        for i in range(len(loads)):
+            if loads[i] + items[k] <= lengths[-1]:
+                deal(k + 1, [*loads[:i], loads[i] + items[k], *loads[i + 1 :]])
+        deal(k + 1, [*loads, items[k]])
+
+    deal(0, [])
+    return best
+
+
+def smallest_fit(items, lengths):
+    """Best fit by falling size, a new bin always of the shortest length that holds the item; bin by bin."""
+    rooms, used = [], []
     for s in items:
         fit = [r for r in rooms if r >= s]
         if fit:
-            k = max(i for i, r in enumerate(rooms) if r == min(fit))
+            k = rooms.index(min(fit))
         else:
-            c = min((c for c in lengths if c >= s), key=lambda c: (packing.cost(c) / min(c, rest), c))
-            rooms.append(c)
+            rooms.append(packing.fitting(s, lengths))
             used.append(0)
             k = len(rooms) - 1
-        rest -= s
         rooms[k] -= s
         used[k] += s
-        bins.append(k)
-    return bins, used
+    return used
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=60))
-def test_rule(items):
-    items = sorted(items, reverse=True)
-    lengths = (8, 16, 32, 64)
-    bins, places, used, size = packing.pack(items, lengths)
-    assert sorted(used) == sorted(brute(items, lengths)[1])
+def well_formed(items, lengths, packed):
+    bins, places, used, size = packed
     for k, u in enumerate(used):
         inside = sorted((p, s) for b, p, s in zip(bins, places, items) if b == k)
         assert sum(s for _, s in inside) == u <= size[k] == min(c for c in lengths if c >= u)
         assert [p for p, _ in inside] == [sum(s for _, s in inside[:i]) for i in range(len(inside))]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 4096), max_size=60))
+def test_never_dearer_than_smallest_fit(items):
+    items = sorted(items, reverse=True)
+    packed = packing.pack(items)
+    well_formed(items, packing.LENGTHS, packed)
+    assert cost(packed[2], packing.LENGTHS) <= cost(smallest_fit(items, packing.LENGTHS), packing.LENGTHS) + 1e-6
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(1, 4096), min_size=1, max_size=7))
+def test_near_the_optimum(items):
+    items = sorted(items, reverse=True)
+    best, ours = optimum(items, packing.LENGTHS), cost(packing.pack(items)[2], packing.LENGTHS)
+    assert best - 1e-6 <= ours <= 1.5 * best
+
+
+def test_longer_bins_open_and_are_cut_down():
+    """Short items open longer bins than they need, as these can be filled; what stays short is cut down."""
+    r = random.Random(4)
+    items = sorted((r.randint(1, 400) for _ in range(2000)), reverse=True)
+    opened = []
+
+    def choose(s, left):
+        opened.append((s, packing.jointly(packing.LENGTHS)(s, left)))
+        return opened[-1][1]
+
+    _, _, used = packing.pack_one(items, packing.LENGTHS, choose)
+    assert all(s <= 400 and c > 512 for s, c in opened[:100])
+    few = [700, 300, 20]
+    made = []
+    _, _, held = packing.pack_one(few, packing.LENGTHS, lambda s, left: made.append(2048) or 2048)
+    assert held == [1020] and packing.fitting(held[0], packing.LENGTHS) == 1024  # cut down
+    _, _, used, size = packing.pack(items)
+    assert cost(used, packing.LENGTHS) < 0.9 * cost(smallest_fit(items, packing.LENGTHS), packing.LENGTHS) and len(set(size)) > 1
+
+
 def test_query(spark, folder, texts):
     rows = packing.op3_best_fit(spark, folder).collect()
     pieces = defaultdict(list)
