@@ -8,11 +8,15 @@ forward-backward sums give the expectations in training and the word posteriors
 
 Training chains are spans of labelled texts, some spliced from texts in different languages,
 so that switches and their rarity are learned. The sample is bounded: ``TRAIN_ROWS`` rows of
-each language (those of least hash of doc_id; of all together beyond ``MANY`` languages) and
-``SPANS`` spans of ``SPAN`` words of each, spread over the whole text.
+each language (those of least hash of doc_id), fewer where languages are so many that they
+would exceed ``ALL_ROWS`` together, and never less than one; of each row ``SPANS`` spans of
+``SPAN`` words, spread over the whole text.
 
-A text's words form chains of at most ``CHAIN`` words, all scored in step. A text's language
-is the one with the largest posterior summed over all its words; the score is its share.
+A text is one chain, however long. It is worked through in pieces of ``PIECE`` words, all in
+step; a product of transition matrices over each piece carries the forward vector to the next
+piece and the backward vector to the one before, so the cuts change no posterior. A text's
+language is the one with the largest posterior summed over all its words; the score is its
+share. ``label_spans`` returns the runs of words of one language.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with no
 training rows every text is ``und``; ties go to the language that sorts first; repeated rows
@@ -22,20 +26,19 @@ get equal results; empty input gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store, _text
 
 TRAIN_ROWS = 400
-MANY = 20
+ALL_ROWS = 8000
 SPANS = 6
 SPAN = 20
-CHAIN = 128
+PIECE = 128
 BUCKETS = 1 << 16
 AFFIXES = 1 << 16
 ROUNDS = 40
@@ -98,14 +101,74 @@ def emissions(model: Model, buf, starts, ends) -> np.ndarray:
     return out + model.lexicon_weights[lexicon_index(model.lexicon, hashes)]
 
 
-def chains(first: np.ndarray, limit: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the chains: the words of each text in pieces of at most ``limit``."""
+def pieces(first: np.ndarray, limit: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of the pieces of each text's chain, of at most ``limit`` words, and each piece's number in its text."""
     lens = np.diff(first)
-    pieces = -(-lens // limit)
-    doc = np.repeat(np.arange(len(lens)), pieces)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    count = -(-lens // limit)
+    doc = np.repeat(np.arange(len(lens)), count)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     start = first[:-1][doc] + k * limit
-    return start, np.minimum(limit, first[1:][doc] - start)
+    return start, np.minimum(limit, first[1:][doc] - start), k
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors that sum to 1, along the last axis."""
+    return x / np.maximum(x.sum(axis=-1, keepdims=True), 1e-300)
+
+
+def posteriors(em: np.ndarray, first: np.ndarray, trans: np.ndarray, begin: np.ndarray, limit: int = PIECE) -> np.ndarray:
+    """Posteriors (words x languages) of whole texts as one chain each, worked through in pieces."""
+    n, size = em.shape
+    if not n:
+        return np.zeros((0, size))
+    pot = np.exp((em - em.max(axis=1, keepdims=True)).astype(np.float64))
+    moves = np.exp(trans - trans.max())
+    start, lens, number = pieces(first, limit)
+    head, tail = np.zeros((len(start), size)), np.ones((len(start), size)) / size
+    head[number == 0] = _unit(np.exp(begin - begin.max()))
+    follow = np.flatnonzero(number > 0)  # pieces with one before them; piece i - 1 is the one
+    if len(follow):
+        # What a piece does to a forward vector: the product of its steps, for all pieces in step.
+        inner = np.flatnonzero(np.append(number[1:] > 0, False) | (number > 0))
+        step = np.argsort(-lens[inner], kind="stable")
+        at, size_of = start[inner][step], lens[inner][step]
+        through = np.broadcast_to(np.eye(size), (len(inner), size, size)).copy()
+        for t in range(int(size_of[0])):
+            c = int(np.searchsorted(-size_of, -t, side="left"))
+            # A text's first piece starts from its own vector, not by a move.
+            live = through[:c] @ moves if t else np.where((number[inner][step][:c] > 0)[:, None, None], through[:c] @ moves, through[:c])
+            live = live * pot[at[:c] + t][:, None, :]
+            through[:c] = live / live.max(axis=(1, 2), keepdims=True)
+        matrix = np.empty((len(start), size, size))
+        matrix[inner[step]] = through
+        # From piece to piece: forward vectors rightwards, backward vectors leftwards, all texts in step.
+        last = int(number.max())
+        by_number = np.argsort(number, kind="stable")
+        cuts = np.searchsorted(number[by_number], np.arange(last + 2))
+        ahead = np.zeros((len(start), size))
+        ahead[number == 0] = head[number == 0]
+        for k in range(1, last + 1):
+            now = by_number[cuts[k] : cuts[k + 1]]
+            ahead[now] = _unit(np.einsum("pi,pij->pj", ahead[now - 1], matrix[now - 1]))
+            head[now] = _unit(ahead[now] @ moves)
+        for k in range(last, 0, -1):
+            now = by_number[cuts[k] : cuts[k + 1]]
+            tail[now - 1] = _unit(np.einsum("pij,pj->pi", matrix[now], tail[now]))
+    order = np.argsort(-lens, kind="stable")
+    start, lens, head, tail = start[order], lens[order], head[order], tail[order]
+    active = np.searchsorted(-lens, -np.arange(int(lens[0]) if len(lens) else 0), side="left")  # pieces longer than t
+    alphas, post = [], np.zeros((n, size))
+    for t, c in enumerate(active):
+        before = head if t == 0 else alphas[-1][:c] @ moves
+        alphas.append(_unit(pot[start[:c] + t] * before[:c]))
+    beta = np.zeros((0, size))
+    for t in range(len(active) - 1, -1, -1):
+        c, m = active[t], len(beta)
+        now = tail[:c].copy()
+        now[:m] = _unit((pot[start[:m] + t + 1] * beta) @ moves.T)
+        beta = now
+        post[start[:c] + t] = _unit(alphas[t] * beta)
+    return post
 
 
 def forward_backward(em: np.ndarray, start: np.ndarray, lens: np.ndarray, trans: np.ndarray, begin: np.ndarray):
@@ -210,11 +273,10 @@ def fit(spans: list[str], labels: list[str], rounds: int = ROUNDS, seed: int = 7
 
 
 def label_words(model: Model, texts: list[str | None]):
-    """For each text, its words' posteriors (words x languages), through chains of bounded length."""
+    """For each text, its words' posteriors (words x languages)."""
     buf, offsets = lowered(texts)
     starts, ends, first = _text.words(buf, offsets)
-    post = forward_backward(emissions(model, buf, starts, ends), *chains(first), model.transitions, model.start)[0]
-    return post, first
+    return posteriors(emissions(model, buf, starts, ends), first, model.transitions, model.start), first
 
 
 def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -252,13 +314,13 @@ def _spans(batches):
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, **options) -> Model | None:
     """Learn from text and lang of the rows that are not held out."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MANY + 1).collect()]
-    light = known.select("doc_id", "lang")
-    least = lambda d, n: d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    if not langs:
+    many = known.select("lang").distinct().count()
+    if not many:
         return None
-    parts = [least(light.filter(F.col("lang") == x), train_rows) for x in langs] if len(langs) <= MANY else [least(light, train_rows * MANY)]
-    picked = reduce(DataFrame.unionByName, parts).select("doc_id").distinct()
+    # Spark cuts each partition to the rows of least rank before it shuffles.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    each = max(1, min(train_rows, ALL_ROWS // many))
+    picked = known.select("doc_id", "lang").distinct().withColumn("rank", rank).filter(F.col("rank") <= each).select("doc_id").distinct()
     got = known.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").mapInArrow(_spans, "lang string, span string").toArrow()
     pairs = sorted(zip(got.column("lang").to_pylist(), got.column("span").to_pylist(), strict=True))
     return fit([s for _, s in pairs], [x for x, _ in pairs], **options)
@@ -278,6 +340,31 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return _store.doc_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def label_spans(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id and spans of every row: runs of words of one language, as (lang, start, end) in words; none without a model."""
+
+    def spans(texts):
+        if model is None:
+            return [[] for _ in texts]
+        post, first = label_words(model, texts)
+        best, out = post.argmax(axis=1), []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            cuts = np.flatnonzero(np.diff(best[a:b])) + 1
+            edges = [0, *cuts.tolist(), b - a] if b > a else []
+            out.append([{"lang": model.langs[best[a + x]], "start": x, "end": y} for x, y in zip(edges[:-1], edges[1:], strict=True)])
+        return out
+
+    def run(batches):
+        for batch in batches:
+            ids, column = batch.column("doc_id"), batch.column("text")
+            _, offsets = _text.text_buffer(column)
+            for i, j in _text.blocks(offsets):
+                kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(spans(column.slice(i, j - i).to_pylist()), kind)], ["doc_id", "spans"])
+
+    return _store.doc_text(docs).mapInArrow(run, "doc_id long, spans array<struct<lang:string,start:int,end:int>>")
+
+
 def op10_crf(spark, sf_dir: str) -> DataFrame:
     """Language and score of every document, learned from those not held out."""
     docs = _store.table(spark, sf_dir, "documents")

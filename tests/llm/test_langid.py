@@ -86,6 +86,40 @@ def test_results_do_not_depend_on_neighbours_or_length():
     assert langs[0] == "aa" and langs[1] == langs[2] == "und" and langs[3] == "cc"
 
 
+def test_pieces_of_a_chain_hand_on_their_vectors():
+    """Posteriors of whole chains, however they are cut; weak evidence and strong transitions, so that cuts would show."""
+    rng = np.random.default_rng(3)
+    first = np.array([0, 256, 256, 257, 300, 513])
+    em, begin = rng.normal(size=(513, 3)) * 0.3, rng.normal(size=3)
+    trans = np.eye(3) * 4 + rng.normal(size=(3, 3)) * 0.2
+    want = langid.forward_backward(em, first[:-1], np.diff(first), trans, begin)[0]
+    for limit in (1, 7, 128, 1000):
+        assert np.allclose(langid.posteriors(em, first, trans, begin, limit), want, atol=1e-9)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than rows allow in full, one of them rare, ids that repeat."""
+    rows = [(i, " ".join([f"{chr(97 + i % 26)}{chr(97 + i % 26)}x"] * 30), f"l{i % 26:02d}", "s", 1) for i in range(600) if i % 26 != 25 or i < 60]
+    docs = spark.createDataFrame(rows + rows[:40], "doc_id long, text string, lang string, span string, rank int")
+    langid_rows, langid.ALL_ROWS = langid.ALL_ROWS, 50
+    try:
+        model = langid.train(docs, rounds=5)
+    finally:
+        langid.ALL_ROWS = langid_rows
+    known = {f"l{i % 26:02d}" for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(model.langs) == known and len(known) > 20
+
+
+def test_spans_of_switched_text(spark):
+    r = random.Random(8)
+    spans = [(lang, sentence(r, lang, 20)) for lang in SYLLABLES for _ in range(100)]
+    model = langid.fit([s for _, s in spans], [x for x, _ in spans])
+    docs = spark.createDataFrame([(1, sentence(r, "aa", 30) + " " + sentence(r, "bb", 30)), (2, None), (None, "")], "doc_id long, text string")
+    got = {x["doc_id"]: [(s["lang"], s["start"], s["end"]) for s in x["spans"]] for x in langid.label_spans(docs, model).collect()}
+    assert got[2] == got[None] == []
+    assert [x for x, *_ in got[1]] == ["aa", "bb"] and abs(got[1][0][2] - 30) <= 1 and got[1][1][2] == 60
+
+
 def test_no_training_rows_and_empty(spark, docs, no_docs):
     assert langid.train(no_docs) is None
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
