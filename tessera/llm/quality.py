@@ -13,11 +13,17 @@ All are hashed into 2**18 slots.
 Training: proximal gradient steps with an L1 penalty, so that words which tell nothing weigh
 nothing and long texts gather no noise, on a bounded sample of labelled rows (``TRAIN_ROWS``
 rows, those of least hash of doc_id, alike at every size). Feature lists are made in Spark;
-the driver gets at most ``TRAIN_ROWS`` lists of distinct slots. Scoring reads whole texts.
+the driver gets at most ``TRAIN_ROWS`` lists of at most ``TRAIN_SLOTS`` distinct slots (of a
+text with more, those of least hash), 200 MB at worst. Scoring reads whole texts. Slots in
+fewer than ``MIN_DF`` training texts are not used; with few texts that bound is a hundredth of
+them, plus one. Training ends after ``ROUNDS`` steps, or when ``PATIENCE`` steps together
+lower the loss by less than ``LEAST`` of it.
 
 Defined cases: null and blank texts have no feature and get the model's prior; with no labels
-(or labels of one grade) every text gets the prior as well and is kept; repeated rows get
-equal results; empty input gives an empty result; other columns are untouched.
+(or labels of one grade) every text gets the prior as well and is kept; labels that repeat for
+one doc_id count once, with the lowest grade; of rows that repeat a labelled doc_id one is
+learned from; repeated rows get equal results; empty input gives an empty result; other columns
+are untouched.
 """
 
 from __future__ import annotations
@@ -38,6 +44,8 @@ GRADES = 3
 PREFIXES = (3, 4, 5, 6, 7, 8)
 L1 = 4e-4
 ROUNDS = 400
+PATIENCE, LEAST = 20, 1e-4
+TRAIN_SLOTS = 8192
 #: Features in fewer training texts are not used.
 MIN_DF = 6
 #: A text stays if P(grade >= KEEP_GRADE) is at least KEEP_TAIL.
@@ -132,13 +140,25 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, l1:
     if n == 0 or len(np.unique(grades)) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), theta)
     slots = np.concatenate(rows).astype(np.int32)
-    of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    df = np.bincount(slots, minlength=int(slots.max()) + 1)
-    good = (df >= MIN_DF) & (df < n)
+    lens = np.array([len(r) for r in rows], dtype=np.int64)
+    df = np.bincount(slots, minlength=int(slots.max()) + 1 if len(slots) else 1)
+    good = (df >= min(MIN_DF, 1 + n // 100)) & (df < n)
     used = np.flatnonzero(good)
     keep = good[slots]
-    index, of = (np.cumsum(good, dtype=np.int32) - 1)[slots[keep]], of[keep]
-    del slots, keep
+    if not keep.any():
+        return Model(np.zeros(0, np.int64), np.zeros(0), theta)
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    ends = np.cumsum(lens)
+    counts_of = upto[ends] - upto[ends - lens]
+    index = (np.cumsum(good, dtype=np.int32) - 1)[slots[keep]]
+    del slots, keep, upto
+    # The pairs twice, in the order of the texts and in that of the slots, so that both sums run over neighbours.
+    live = np.flatnonzero(counts_of)
+    heads = (np.cumsum(counts_of) - counts_of)[live]
+    by_slot = np.argsort(index, kind="stable").astype(np.int32)
+    of = np.repeat(np.arange(n, dtype=np.int32), counts_of)[by_slot]
+    slot_heads = np.searchsorted(index[by_slot], np.arange(len(used)))
+    del by_slot
     # Grades weigh the same in all, so that few toxic rows count.
     weight = (n / grades_n / counts)[grades]
     weight = weight / weight.sum()
@@ -148,7 +168,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, l1:
     step = 4.0
 
     def gradient(w, t):
-        f = np.bincount(of, w[index], minlength=n)
+        f = np.zeros(n)
+        f[live] = np.add.reduceat(w[index], heads)
         upper, lower = np.append(t, np.inf), np.append(-np.inf, t)
         a, b = _sigmoid(upper[grades] - f), _sigmoid(lower[grades] - f)
         p = np.maximum(a - b, 1e-9)
@@ -158,9 +179,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, l1:
         np.add.at(g_t, grades, -weight * da / p)
         low = np.zeros(len(t) + 2)
         np.add.at(low, grades, weight * db / p)
-        return -(weight * np.log(p)).sum(), np.bincount(index, g_f[of], minlength=len(used)), g_t[:-1] + low[1 : len(t) + 1]
+        return -(weight * np.log(p)).sum(), np.add.reduceat(g_f[of], slot_heads), g_t[:-1] + low[1 : len(t) + 1]
 
-    seen = np.inf
+    seen, first, best, losses = np.inf, None, np.inf, []
     for _ in range(rounds):
         loss, g_w, g_t = gradient(v, t)
         moved = v - step * scale * g_w
@@ -175,8 +196,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, l1:
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         v = w + (momentum - 1) / after * (w - w_prev)
         w_prev, t_prev, t, momentum, seen = w, t, t_new, after, loss
-    live = w_prev != 0
-    return Model(used[live], w_prev[live], t)
+        first = loss if first is None else first
+        best = min(best, loss + l1 * np.abs(v).sum())
+        losses = [*losses, best] if loss < first else []  # the first steps may lead up
+        if len(losses) > PATIENCE and losses[-PATIENCE - 1] - best < LEAST * best:
+            break
+    found = w_prev != 0
+    return Model(used[found], w_prev[found], t)
 
 
 def _features_of(batches):
@@ -184,8 +210,13 @@ def _features_of(batches):
         buf, offsets = _text.text_buffer(batch.column("text"))
         for i, j in _text.blocks(offsets):
             doc, slot = features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            cuts = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(slot.astype(np.int32)))
+            cuts = np.searchsorted(doc, np.arange(j - i + 1))
+            for k in np.flatnonzero(np.diff(cuts) > TRAIN_SLOTS):
+                own = slot[cuts[k] : cuts[k + 1]]
+                own[np.argsort(_text.mix(own.astype(np.uint64), 77), kind="stable")[TRAIN_SLOTS:]] = -1
+            kept = slot >= 0
+            cuts = np.concatenate([[0], np.cumsum(kept)])[cuts].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(slot[kept].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("grade").slice(i, j - i), lists], ["doc_id", "grade", "slots"])
 
 

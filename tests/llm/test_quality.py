@@ -47,6 +47,39 @@ def test_tails_are_ordered_and_sum_to_the_expected_grade():
     assert (np.diff(tails, axis=1) <= 0).all() and (np.diff(tails, axis=0) > 0).all()
 
 
+def test_fit_against_a_grid():
+    """On one feature, no weight and thresholds on a grid have a lower penalised loss than those fitted."""
+    r = np.random.default_rng(3)
+    has = r.random(80) < 0.5
+    grades = np.where(has, r.choice(3, 80, p=[0.6, 0.3, 0.1]), r.choice(3, 80, p=[0.1, 0.3, 0.6]))
+    model = quality.fit([np.array([5] if h else [], dtype=np.int64) for h in has], grades, l1=1e-3, rounds=3000)
+    assert model.slots.tolist() == [5]
+    counts = np.bincount(grades, minlength=3) + 0.5
+    weight = (80 / 3 / counts)[grades]
+    weight /= weight.sum()
+
+    def loss(w, a, b):
+        f = w * has
+        cut = np.stack([np.zeros(80), 1 / (1 + np.exp(f - a)), 1 / (1 + np.exp(f - b)), np.ones(80)], axis=1)
+        p = np.maximum(cut[np.arange(80), grades + 1] - cut[np.arange(80), grades], 1e-9)
+        return -(weight * np.log(p)).sum() + 1e-3 * abs(w)
+
+    grid = [loss(w, a, b) for w in np.arange(-4, 0.1, 0.1) for a in np.arange(-4, 2, 0.2) for b in np.arange(a + 0.1, a + 4, 0.2)]
+    assert loss(model.weights[0], *model.thresholds) <= min(grid) + 1e-3
+
+
+def test_labels_that_clash_and_long_training_texts(spark, monkeypatch):
+    """The lowest grade of a doc_id counts, so labels added to bad texts change nothing; slots of one training text are bounded; a few labels suffice."""
+    texts = [(i, ("bad words here " if i % 2 else "good words there ") * 3 + " ".join(VOCAB[i % 7 : i % 7 + 9])) for i in range(60)]
+    docs = spark.createDataFrame(texts + texts[:5] + [(None, None)], "doc_id long, text string")
+    labels = [(i, int(i % 2 == 0), 0) for i in range(40)] + [(1, 1, 0), (3, 1, 0), (None, 1, 0)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = [r["doc_id"] for r in quality.select_quality(docs, table).collect()]
+    assert {i for i in kept if i is not None and i > 40} == set(range(42, 60, 2))
+    monkeypatch.setattr(quality, "TRAIN_SLOTS", 10)
+    assert quality.train(docs, table).thresholds.shape == (2,)
+
+
 def test_held_out_accuracy_through_spark(spark):
     train, test = make(700, 1), make(400, 2)
     rows = train + [(1000 + i, t, g) for i, t, g in test]
