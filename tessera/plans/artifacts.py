@@ -29,9 +29,9 @@ def artifact_put_dedup(spark, sf_dir):
     return stored(spark, sf_dir).select("artifact_id", "put_ord", "refs", "size", "chunk_count", "mime", "ttl", "pinned", "hash_prefix")
 
 
-@query("artifact_get", f"{WITH}, w AS (SELECT DISTINCT sha256(CASE WHEN doc_id % 4 = 0 THEN concat(text, '?') ELSE text END) AS artifact_id FROM documents WHERE doc_id % 2 = 0) SELECT w.artifact_id, a.text AS content FROM w LEFT JOIN art a ON a.artifact_id = w.artifact_id")
+@query("artifact_get", f"{WITH}, w AS (SELECT DISTINCT sha256(CASE WHEN doc_id % 4 = 0 THEN concat(text, '?') ELSE text END) AS artifact_id FROM documents) SELECT w.artifact_id, a.text AS content FROM w LEFT JOIN art a ON a.artifact_id = w.artifact_id")
 def artifact_get(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0")
+    d = table(spark, sf_dir, "documents")
     wanted = d.select(F.sha2(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")).cast("binary"), 256).alias("artifact_id")).distinct()
     return artifacts.get(stored(spark, sf_dir), wanted).select("artifact_id", F.decode("content", "UTF-8").alias("content"))
 
@@ -55,19 +55,19 @@ def text_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", artifacts.truncated(F.col("text"), artifacts.PREVIEW).alias("text"))
 
 
-@query("artifact_pin", f"{WITH}, e AS (SELECT sha256(text) AS artifact_id, doc_id AS ord, doc_id % 3 = 0 AS pin FROM documents WHERE doc_id % 2 = 0), l AS (SELECT artifact_id, arg_max(pin, ord) AS pin FROM e GROUP BY artifact_id) SELECT a.artifact_id, COALESCE(l.pin, a.pinned) AS pinned FROM art a LEFT JOIN l ON l.artifact_id = a.artifact_id")
+@query("artifact_pin", f"{WITH}, e AS (SELECT sha256(text) AS artifact_id, doc_id AS ord, doc_id % 3 = 0 AS pin FROM documents), l AS (SELECT artifact_id, arg_max(pin, ord) AS pin FROM e GROUP BY artifact_id) SELECT a.artifact_id, COALESCE(l.pin, a.pinned) AS pinned FROM art a LEFT JOIN l ON l.artifact_id = a.artifact_id")
 def artifact_pin(spark, sf_dir):
-    e = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.sha2(F.col("text").cast("binary"), 256).alias("artifact_id"), F.col("doc_id").alias("ord"), (F.col("doc_id") % 3 == 0).alias("pin"))
+    e = table(spark, sf_dir, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("artifact_id"), F.col("doc_id").alias("ord"), (F.col("doc_id") % 3 == 0).alias("pin"))
     return artifacts.pin(stored(spark, sf_dir), e).select("artifact_id", "pinned")
 
 
 @query(
     "artifact_delete",
-    f"""{WITH}, r AS (SELECT DISTINCT sha256(CASE WHEN doc_id % 9 = 0 THEN concat(text, '?') ELSE text END) AS artifact_id FROM documents WHERE doc_id % 3 = 0)
+    f"""{WITH}, r AS (SELECT DISTINCT sha256(CASE WHEN doc_id % 9 = 0 THEN concat(text, '?') ELSE text END) AS artifact_id FROM documents)
       SELECT r.artifact_id, CASE WHEN a.pinned IS NULL THEN 'unknown' WHEN a.pinned THEN 'Cannot delete pinned artifact — unpin first' ELSE 'deleted' END AS outcome FROM r LEFT JOIN art a ON a.artifact_id = r.artifact_id""",
 )
 def artifact_delete(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0")
+    d = table(spark, sf_dir, "documents")
     r = d.select(F.sha2(F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")).cast("binary"), 256).alias("artifact_id"))
     return artifacts.delete(stored(spark, sf_dir), r)[1]
 

@@ -99,11 +99,11 @@ def symbol_source_view(spark, sf_dir):
 
 @query(
     "symbol_lookup_first",
-    f"""{WITH}, w AS (SELECT path, CASE WHEN file_ord % 3 = 0 THEN 'run' WHEN file_ord % 3 = 1 THEN 'missing' ELSE name END AS symbol FROM ids WHERE sym_ord = 0),
+    f"""{WITH}, w AS (SELECT DISTINCT path, CASE WHEN file_ord % 3 = 0 THEN 'run' WHEN file_ord % 3 = 1 THEN 'missing' ELSE name END AS symbol FROM ids),
       m AS (SELECT w.path, w.symbol, s.symbol_id, s.qualified_name, s.kind, row_number() OVER (PARTITION BY w.path, w.symbol ORDER BY s.sym_ord) AS r FROM w LEFT JOIN ids s ON s.path = w.path AND (s.name = w.symbol OR s.qualified_name = w.symbol))
       SELECT path, symbol, symbol_id, qualified_name, kind FROM m WHERE r = 1""",
 )
 def symbol_lookup_first(spark, sf_dir):
     s = corpus.symbols(spark, sf_dir)
-    wanted = s.filter("sym_ord = 0").select("path", F.when(F.col("file_ord") % 3 == 0, "run").when(F.col("file_ord") % 3 == 1, "missing").otherwise(F.col("name")).alias("symbol"))
+    wanted = s.select("path", F.when(F.col("file_ord") % 3 == 0, "run").when(F.col("file_ord") % 3 == 1, "missing").otherwise(F.col("name")).alias("symbol")).distinct()
     return parse.lookup(s, wanted)

@@ -108,11 +108,12 @@ def project_scan_stats(spark, sf_dir):
     return reduce(lambda a, b: a.join(b, "repo_id"), counts).drop("repo_id")
 
 
-_WANTED = "w AS (SELECT path, name AS symbol FROM ids WHERE sym_ord = 0 AND NOT contains(path, 'test_') AND file_ord % 14 = 0)"
+_WANTED = "w AS (SELECT path, name AS symbol FROM ids)"
 
 
 def wanted(s):
-    return s.filter("sym_ord = 0 AND NOT contains(path, 'test_') AND file_ord % 14 = 0").select("path", F.col("name").alias("symbol"))
+    """Every symbol, by path and name."""
+    return s.select("path", F.col("name").alias("symbol")).distinct()
 
 
 def _around(side, a, b):
@@ -210,13 +211,13 @@ def project_map(spark, sf_dir):
 
 @query(
     "graph_distance",
-    f"""{WITH}, pairs AS (SELECT a.symbol_id AS from_id, b.symbol_id AS to_id FROM ids a JOIN ids b ON b.file_ord IN (a.file_ord, a.file_ord + 40, a.file_ord + 80, a.file_ord + 20, a.file_ord + 2) WHERE a.file_ord % 10 = 0),
+    f"""{WITH}, pairs AS (SELECT a.symbol_id AS from_id, b.symbol_id AS to_id FROM ids a JOIN ids b ON b.file_ord IN (a.file_ord, a.file_ord + 40, a.file_ord + 80, a.file_ord + 20, a.file_ord + 2)),
       calls AS (SELECT DISTINCT src_id, dst_id FROM typed WHERE type = 'calls'), either AS (SELECT src_id, dst_id FROM calls UNION SELECT dst_id, src_id FROM calls),
       near AS (SELECT src_id, dst_id, 1 AS d FROM either UNION ALL SELECT dst_id, src_id, 2 FROM typed WHERE type = 'inherits' UNION ALL SELECT c.src_id, e.dst_id, 3 FROM calls c JOIN either e ON e.src_id = c.dst_id)
       SELECT from_id, to_id, CAST(CASE WHEN from_id = to_id THEN 0 ELSE COALESCE((SELECT min(d) FROM near n WHERE n.src_id = from_id AND n.dst_id = to_id), 5) END AS INTEGER) AS distance FROM pairs""",
 )
 def graph_distance(spark, sf_dir):
     s = parsed(spark, sf_dir)
-    a = s.filter("file_ord % 10 = 0").select(F.col("symbol_id").alias("from_id"), F.explode(F.array(*[F.col("file_ord") + F.lit(k) for k in (0, 40, 80, 20, 2)])).alias("file_ord"))
+    a = s.select(F.col("symbol_id").alias("from_id"), F.explode(F.array(*[F.col("file_ord") + F.lit(k) for k in (0, 40, 80, 20, 2)])).alias("file_ord"))
     pairs = a.join(s.select("file_ord", F.col("symbol_id").alias("to_id")), "file_ord").select("from_id", "to_id")
     return graph.distances(pairs, graph.typed_edges(s), s)

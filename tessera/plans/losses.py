@@ -19,10 +19,10 @@ _TEXT = "CASE " + " ".join(f"WHEN reason = '{k}' THEN '{v}'" for k, v in loss.RE
 ITEMS = f"""
 items AS (
   SELECT source AS manifest_id, 'file' AS kind, concat(source, '/', doc_id) AS item, reason, CASE WHEN doc_id % 2 = 0 THEN 'by hand' ELSE {_TEXT} END AS detail, concat('file:', lower(substr(hex(CAST(concat(source, '/', doc_id) AS BLOB)), 1, 12))) AS retrieval_id, CAST(NULL AS DOUBLE) AS confidence
-    FROM (SELECT *, {_PICK} AS reason FROM documents) WHERE doc_id % 3 = 0
-  UNION ALL SELECT source, 'symbol', concat('sym_', substr(sha256(text), 1, 12)), reason, {_TEXT}, concat('sym:sym_', substr(sha256(text), 1, 12)), NULL FROM (SELECT *, {_PICK} AS reason FROM documents) WHERE doc_id % 3 = 1
-  UNION ALL SELECT source, 'unresolved_call', concat('d', doc_id, ' -> f', doc_id % 17), 'UNRESOLVED', NULL, NULL, NULL FROM documents WHERE doc_id % 40 = 2
-  UNION ALL SELECT source, 'parser_fallback', concat(source, '/', doc_id), 'PARSER_FALLBACK', NULL, NULL, 0.5::DOUBLE + greatest(0.0::DOUBLE, 0.3::DOUBLE - (doc_id % 5) * 0.1::DOUBLE) FROM documents WHERE doc_id % 50 = 3
+    FROM (SELECT *, {_PICK} AS reason FROM documents)
+  UNION ALL SELECT source, 'symbol', concat('sym_', substr(sha256(text), 1, 12)), reason, {_TEXT}, concat('sym:sym_', substr(sha256(text), 1, 12)), NULL FROM (SELECT *, {_PICK} AS reason FROM documents)
+  UNION ALL SELECT d.source, 'unresolved_call', concat('d', d.doc_id, ' -> f', d.doc_id % 17), 'UNRESOLVED', NULL, NULL, NULL FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1
+  UNION ALL SELECT d.source, 'parser_fallback', concat(d.source, '/', d.doc_id), 'PARSER_FALLBACK', NULL, NULL, 0.5::DOUBLE + greatest(0.0::DOUBLE, 0.3::DOUBLE - (d.doc_id % 5) * 0.1::DOUBLE) FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 0
   UNION ALL SELECT d.source, 'low_confidence', concat('d', d.doc_id), 'LOW_CONFIDENCE', 'effects', NULL, 0.25::DOUBLE + 0.5::DOUBLE * l.quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE 0.25::DOUBLE + 0.5::DOUBLE * l.quality < 0.7
 ),
 manifests AS (SELECT source AS manifest_id, CAST(20000 AS BIGINT) AS token_budget, sum(n_chars) AS packet_tokens, CAST(substr(source, 4) AS BIGINT) % 3 <> 0 AS target_covered, CAST(substr(source, 4) AS BIGINT) % 2 = 0 AS entrypoints_covered FROM documents GROUP BY source),
@@ -37,13 +37,14 @@ def parts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("manifest_id", F.col("source"))
     reason = F.element_at(F.array(*[F.lit(x) for x in _REASONS]), (F.col("doc_id") % 14 + 1).cast("int"))
     path = F.concat("source", F.lit("/"), "doc_id")
+    rated = d.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")  # toxic ones stand for unresolved calls, poor ones for fallbacks
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.lit(0.25) + F.lit(0.5) * F.col("quality")).alias("confidence"))
     name = F.concat(F.lit("d"), "doc_id")
     return {
-        "files": loss.excluded_files(d.filter("doc_id % 3 = 0").select("manifest_id", path.alias("path"), reason.alias("reason"), F.when(F.col("doc_id") % 2 == 0, "by hand").otherwise("").alias("detail"))),
-        "symbols": loss.excluded_symbols(d.filter("doc_id % 3 = 1").select("manifest_id", F.concat(F.lit("sym_"), identity.file_revision(F.col("text"))).alias("symbol_id"), reason.alias("reason"), F.lit("").alias("detail"))),
-        "calls": loss.unresolved_calls(d.filter("doc_id % 40 = 2").select("manifest_id", name.alias("caller"), F.concat(F.lit("f"), F.col("doc_id") % 17).alias("target"))),
-        "fallbacks": loss.parser_fallbacks(d.filter("doc_id % 50 = 3").select("manifest_id", path.alias("path"), (F.col("doc_id") % 5).alias("errors"))),
+        "files": loss.excluded_files(d.select("manifest_id", path.alias("path"), reason.alias("reason"), F.when(F.col("doc_id") % 2 == 0, "by hand").otherwise("").alias("detail"))),
+        "symbols": loss.excluded_symbols(d.select("manifest_id", F.concat(F.lit("sym_"), identity.file_revision(F.col("text"))).alias("symbol_id"), reason.alias("reason"), F.lit("").alias("detail"))),
+        "calls": loss.unresolved_calls(rated.filter("toxic = 1").select("manifest_id", name.alias("caller"), F.concat(F.lit("f"), F.col("doc_id") % 17).alias("target"))),
+        "fallbacks": loss.parser_fallbacks(rated.filter("quality = 0").select("manifest_id", path.alias("path"), (F.col("doc_id") % 5).alias("errors"))),
         "unsure": loss.low_confidence(d.join(labels, "doc_id").select("manifest_id", name.alias("symbol_id"), F.lit("effects").alias("field"), "confidence")),
     }
 

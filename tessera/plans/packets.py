@@ -128,26 +128,27 @@ def packet_retry(spark, sf_dir):
     return out.select("context_id", "attempted", "succeeded", "quality_before", "quality", F.col("tokens").cast("long").alias("tokens"))
 
 
-@query("evidence_layer", """SELECT conv_id AS context_id, CAST(turn % 3 AS INTEGER) AS ord, ['tests', 'stackTrace', 'diagnostics'][CAST(1 + turn % 3 AS INTEGER)] AS type, text AS data FROM conversations WHERE turn < 3 AND text <> ''""")
+@query("evidence_layer", """SELECT concat(conv_id, '/', turn // 3) AS context_id, CAST(turn % 3 AS INTEGER) AS ord, ['tests', 'stackTrace', 'diagnostics'][CAST(1 + turn % 3 AS INTEGER)] AS type, text AS data FROM conversations WHERE text <> ''""")
 def evidence_layer(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("turn < 3")
-    first = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
-    tasks = c.groupBy(F.col("conv_id").alias("context_id")).agg(first(0).alias("tests"), first(1).alias("stack_trace"), first(2).alias("diagnostics"))
+    """Every three turns are the evidence of one context."""
+    c = table(spark, sf_dir, "conversations").withColumn("context_id", F.concat("conv_id", F.lit("/"), F.floor(F.col("turn") / 3)))
+    first = lambda k: F.max(F.when(F.col("turn") % 3 == k, F.col("text")))
+    tasks = c.groupBy("context_id").agg(first(0).alias("tests"), first(1).alias("stack_trace"), first(2).alias("diagnostics"))
     return packet.evidence_layer(tasks)
 
 
 _COVER = """
-SELECT source AS context_id, 'exact_source' AS kind, concat(source, '/', doc_id) AS file_path, concat('d', doc_id) AS symbol_id, 'r1' AS revision, sha256(text) AS content_hash, CAST(greatest(1, ceil(length(text) * 0.40::DOUBLE)) AS BIGINT) AS token_count FROM documents WHERE doc_id % 3 = 0
+SELECT source AS context_id, 'exact_source' AS kind, concat(source, '/', doc_id) AS file_path, concat('d', doc_id) AS symbol_id, 'r1' AS revision, sha256(text) AS content_hash, CAST(greatest(1, ceil(length(text) * 0.40::DOUBLE)) AS BIGINT) AS token_count FROM documents
 UNION ALL SELECT source, 'contract', concat(source, '/', doc_id), concat('d', doc_id), 'r1', sha256(concat('{"id":"d', doc_id, '"}')), CAST(greatest(1, ceil(length(concat('{"id":"d', doc_id, '"}')) * 0.55::DOUBLE)) AS BIGINT) FROM documents
-UNION ALL SELECT source, CASE WHEN doc_id % 2 = 0 THEN 'test' ELSE 'diagnostic' END, NULL, NULL, NULL, sha256(lang), CAST(greatest(1, ceil(length(lang) * 0.65::DOUBLE)) AS BIGINT) FROM documents WHERE doc_id % 10 < 2"""
+UNION ALL SELECT source, CASE WHEN doc_id % 2 = 0 THEN 'test' ELSE 'diagnostic' END, NULL, NULL, NULL, sha256(lang), CAST(greatest(1, ceil(length(lang) * 0.65::DOUBLE)) AS BIGINT) FROM documents"""
 
 
 def covered(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumns({"context_id": F.col("source"), "file_path": F.concat("source", F.lit("/"), "doc_id"), "symbol_id": F.concat(F.lit("d"), "doc_id"), "revision": F.lit("r1")})
     base = ["context_id", "file_path", "symbol_id", "revision"]
-    sources = d.filter("doc_id % 3 = 0").select(*base, F.col("text").alias("source"))
+    sources = d.select(*base, F.col("text").alias("source"))
     contracts = d.select(*base, F.concat(F.lit('{"id":"'), "symbol_id", F.lit('"}')).alias("contract"))
-    evidence = d.filter("doc_id % 10 < 2").select("context_id", F.when(F.col("doc_id") % 2 == 0, "tests").otherwise("diagnostics").alias("type"), F.col("lang").alias("data"))
+    evidence = d.select("context_id", F.when(F.col("doc_id") % 2 == 0, "tests").otherwise("diagnostics").alias("type"), F.col("lang").alias("data"))
     return packet.coverage(sources, contracts, evidence)
 
 
@@ -156,19 +157,23 @@ def coverage_manifest(spark, sf_dir):
     return covered(spark, sf_dir)
 
 
-@query("coverage_dedup", f"WITH c AS ({_COVER}) SELECT doc_id, sha256(text) AS content_hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.content_hash = sha256(d.text))")
+@query("coverage_dedup", f"WITH c AS ({_COVER}), d AS (SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 0 THEN concat(text, '?') ELSE text END) AS content_hash FROM documents) SELECT doc_id, content_hash FROM d WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.content_hash = d.content_hash)")
 def coverage_dedup(spark, sf_dir):
-    claims = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    """Every document is claimed, every fourth with a text that has changed since."""
+    now = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text"))
+    claims = table(spark, sf_dir, "documents").select("doc_id", F.sha2(now.cast("binary"), 256).alias("content_hash"))
     return packet.not_covered(claims, covered(spark, sf_dir)).select("doc_id", "content_hash")
 
 
-_PRESENT = "SELECT source AS context_id, concat('d', doc_id) AS id FROM documents WHERE doc_id % 2 = 0"
-_REQUEST = "SELECT DISTINCT source AS context_id, concat('d', doc_id) AS id FROM documents WHERE doc_id % 3 = 0"
+_PRESENT = "SELECT DISTINCT source AS context_id, concat('d', doc_id // 2 * 2) AS id FROM documents"
+_REQUEST = "SELECT DISTINCT source AS context_id, concat('d', doc_id // 3 * 3) AS id FROM documents"
 
 
 def overlays(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("context_id"), F.concat(F.lit("d"), "doc_id").alias("id"))
-    return d.filter("doc_id % 2 = 0").drop("doc_id"), d.filter("doc_id % 3 = 0").drop("doc_id")
+    """What packets hold and what is asked for: every document names one id of either kind."""
+    d = table(spark, sf_dir, "documents")
+    ids = lambda k: d.select(F.col("source").alias("context_id"), F.concat(F.lit("d"), F.expr(f"doc_id div {k} * {k}")).alias("id")).distinct()
+    return ids(2), ids(3)
 
 
 @query("packet_expand", f"WITH p AS ({_PRESENT}), r AS ({_REQUEST}) SELECT context_id, id, false AS added FROM p UNION ALL SELECT context_id, id, true FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.context_id = r.context_id AND p.id = r.id)")
@@ -198,12 +203,12 @@ def packet_inspect(spark, sf_dir):
 
 @query(
     "packet_enrich",
-    f"""{graph_plans.WITH}, {graph_plans._WANTED}, px AS (SELECT concat('ctx_', w.symbol) AS context_id, s.symbol_id AS target_id FROM w JOIN ids s ON s.path = w.path AND s.name = w.symbol)
+    f"""{graph_plans.WITH}, {graph_plans._WANTED}, px AS (SELECT concat('ctx_', w.path, '#', w.symbol) AS context_id, s.symbol_id AS target_id FROM w JOIN ids s ON s.path = w.path AND s.name = w.symbol)
       SELECT context_id, target_id, CAST((SELECT count(*) FROM edges e WHERE e.dst_id = px.target_id) AS BIGINT) AS callers, CAST((SELECT count(*) FROM typed e WHERE e.type = 'tests' AND e.dst_id = px.target_id) AS BIGINT) AS related_tests FROM px""",
 )
 def packet_enrich(spark, sf_dir):
     s, i = graph_plans.parts(spark, sf_dir)
-    p = graph_plans.wanted(s).join(s.select("path", F.col("name").alias("symbol"), F.col("symbol_id").alias("target_id")), ["path", "symbol"]).select(F.concat(F.lit("ctx_"), "symbol").alias("context_id"), "target_id")
+    p = graph_plans.wanted(s).join(s.select("path", F.col("name").alias("symbol"), F.col("symbol_id").alias("target_id")), ["path", "symbol"]).select(F.concat(F.lit("ctx_"), "path", F.lit("#"), "symbol").alias("context_id"), "target_id")
     callers = graph.call_edges(s, i).select(F.col("dst_id").alias("target_id"))
     tests = graph.typed_edges(s).filter("type = 'tests'").select(F.col("dst_id").alias("target_id"))
     return packet.enriched(p, callers, tests).select("context_id", "target_id", "callers", "related_tests")

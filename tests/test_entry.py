@@ -32,13 +32,30 @@ def test_registry_without_training_operators(bare):
     assert not any(q.startswith("op") and q[2].isdigit() for q in queries) and "pipeline" not in queries
 
 
-@pytest.mark.skipif(not (ROOT / "corpus_pipeline.py").exists(), reason="training-data operators are left out")
+WHOLE = (ROOT / "corpus_pipeline.py").exists() and (ROOT / "tessera" / "llm").exists()
+
+
+@pytest.mark.skipif(not WHOLE, reason="training-data operators are left out")
 def test_registry_with_training_operators():
     queries, sql = names(ROOT)
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries if q.startswith("op") and q[2].isdigit()}
     assert "pipeline" in queries and sql <= queries
 
 
+def test_pipeline_without_its_operators(bare):
+    """The pipeline's file may stay when the operators go."""
+    (bare / "corpus_pipeline.py").write_text("from tessera.llm import exact\n")
+    queries, _ = names(bare)
+    assert "pipeline" not in queries
+
+
+def test_other_missing_modules_are_not_hidden(bare):
+    (bare / "corpus_pipeline.py").write_text("import no_such_module\n")
+    code = "import __spark_entry__"
+    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=bare, env={**os.environ, "PYTHONPATH": str(bare)}, capture_output=True, text=True, timeout=120)
+    assert out.returncode and "no_such_module" in out.stderr
+
+
 def test_nothing_outside_imports_the_training_operators():
     for path in (ROOT / "tessera").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
