@@ -8,7 +8,6 @@ a laptop) a folder of our own is used and recorded in the session.
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 from contextlib import contextmanager
 
@@ -27,19 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str = "table", free: bool = False) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, **values: str):
+    """Session settings for what is written meanwhile (dots as two underscores), as they were before afterwards."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back with the same schema.
 
-    A written table needs the shuffles behind it no more. Spark removes shuffle files once the
-    driver's garbage collector has seen them go; ``free`` asks it to look now, after large
-    shuffles. The listeners let go of a finished query a moment late, so it looks twice.
+    A written table needs the shuffles behind it no more; Spark removes their files at the end of the write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for _ in range(2 * free):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    with setting(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.select("*").write.parquet(path)  # the setting counts for plans made under it
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -89,13 +98,6 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     return salted.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("n"), [*keys, "salt"]).drop("salt")
 
 
-@contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000):
     """Fewer rows in an Arrow batch for what is written meanwhile: whole texts are large, and work on them makes arrays several times their size."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return setting(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows), spark__sql__execution__arrow__maxBytesPerBatch="16m")

@@ -6,27 +6,32 @@ document with a smaller doc_id, or earlier in the same one).
 Splitting the work, exactly: of the 53 48-byte grams in a 100-byte string, the one with the
 smallest hash is its anchor, so equal strings have equal anchors and the text falls into
 segments, the runs of strings under one anchor. Strings whose anchor occurs once cannot be
-repeated. Segments of equal content under an anchor are counted in Spark (partial sums
-first); all but the first occurrence of a content are repeated as a whole. What is left is
-the first occurrence of each content under anchors with several contents, or with an anchor
-that comes twice in a document.
-
-Those segments are indexed batch by batch, whole anchors together: a suffix array by prefix
-doubling, its Burrows-Wheeler transform as runs with the text positions of the run ends as
-samples, and a mark where neighbouring suffixes agree in fewer than 100 bytes. All segments
-of a batch are streamed through the index together, from their ends, by LF steps on runs;
-each step gives the suffix row of a position, and the row's interval between two marks is the
-set of places whose match is at least 100 bytes long. All but the earliest place of an
-interval are repeated. The full suffix array is dropped once the runs are made.
+repeated. Segments of equal content under an anchor (a 128-bit BLAKE2 digest of their bytes
+stands in for comparing them) are counted in Spark; all but the first occurrence of a content
+are repeated as a whole. What is left is the first occurrence of each content under anchors
+with several contents, or with an anchor that comes twice in a document. Equal strings lie
+under one anchor, so whole anchors together are indexed, batch by batch, and no index has to
+know another's text.
+
+The index of a batch is its Burrows-Wheeler transform as runs with the text positions of the
+run ends. It keeps, for each run end, the place there, the place in the neighbouring row and
+how far the two agree. Between these samples a place's neighbour moves along with it and the
+match gets one byte shorter a byte, so the matching statistics of all places of the text come
+from the samples by one subtraction each, and memory follows the runs. They are streamed in
+text order. A place whose match is 100 bytes long follows its neighbours, up and down in
+turn, until one of them is an earlier place (it is repeated) or both sides end (it is the
+first). Segments are indexed in the order of their places, so earlier means smaller.
 
 Long segments, which only periodic texts have, are cut into pieces; equal pieces are indexed
-once. Anchors with more than ``CONTENTS`` contents (a very common passage in ever new
-contexts) do not go to one task: the strings of their segments are hashed (128 bits) and counted in
-Spark, the exact way for the rest.
+once. The segments of an anchor with more than ``CONTENTS`` contents (a very common passage in
+ever new contexts) are cut again by a second, finer anchor and dealt to indexes by both. What
+is still more than ``CONTENTS`` under one pair of anchors, which no one task should hold, is
+counted string by string in Spark by a 128-bit digest of the string: the exact way for the rest.
 
 Defined cases: null texts are empty; texts under 100 bytes stay whole; a null doc_id comes
-after all others; rows repeated with one doc_id do not remove each other; empty input gives
-an empty result; other columns are ignored.
+after all others; rows that share a doc_id (or have none) come in the order of a hash of their
+text; rows repeated with one doc_id and text do not remove each other; empty input gives an
+empty result; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -42,115 +47,139 @@ from . import _store, _text
 
 WIDTH = 100
 GRAM = 48
+FINE = 16  # bytes of a gram of the second anchor
 CONTENTS = 2000
 BATCH = 1 << 19  # bytes of segments in one index
 PIECE = 124  # strings of a segment that are indexed together
+STREAM = 1 << 16  # places whose neighbours are followed together
 FEW_IDS = 1_000_000  # so many marked documents are sent to every task at most
 LAST = (1 << 63) - 1
-OTHER = np.uint64(0xA0761D6478BD642F)
+ROW = ["doc_id", "mark"]
 
 
 # ---------------------------------------------------------------- the index
 
 
-def suffix_array(sym: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes, each up to the end of its segment, and an id of each suffix's first ``width`` symbols.
+def suffix_array(sym: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Order of the suffixes, each up to the end of its segment.
 
     ``sym``: 0 ends a segment, other symbols below 512; ``left``: symbols from a place to its segment's end, end included.
     Suffixes that agree up to their segments' ends come in text order.
     """
-    n, k = len(sym), min(7, width)
+    n, k = len(sym), 7
     padded = np.concatenate([sym.astype(np.int64), np.zeros(8, np.int64)])
     key = np.zeros(n, dtype=np.int64)
     for t in range(k):
         key = (key << 9) | np.where(left > t, padded[t : t + n] + (t < 7), 0)
     at = np.arange(n)
-    wide = None
     while True:
         order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(np.concatenate([[1], sorted_key[1:] != sorted_key[:-1]]))
-        if wide is None and 2 * k > width:
-            shift = width - k
-            ahead = np.where(left > shift, rank[np.minimum(at + shift, n - 1)], 0)
-            wide = rank << 32 | ahead
-        if wide is not None and k >= left.max() or (wide is not None and rank.max() == n):
+        if k >= left.max() or rank.max() == n:
             break
         key = rank << 32 | np.where(left > k, rank[np.minimum(at + k, n - 1)], 0)
         k *= 2
-    return np.argsort(rank << 32 | at), wide
+    return np.argsort(rank << 32 | at)
+
+
+def common_length(sym: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at a and b have in common, up to their segments' ends."""
+    limit = np.minimum(left[a], left[b]) - 1
+    padded = np.concatenate([sym.astype(np.uint16), np.zeros(4, np.uint16)])
+    wide = padded[:-3].astype(np.uint64) | padded[1:-2].astype(np.uint64) << np.uint64(16) | padded[2:-1].astype(np.uint64) << np.uint64(32) | padded[3:].astype(np.uint64) << np.uint64(48)
+    out = np.zeros(len(a), dtype=np.int64)
+    live = np.flatnonzero(limit > 0)
+    while len(live):
+        live = live[wide[a[live] + out[live]] == wide[b[live] + out[live]]]
+        out[live] += 4
+        live = live[out[live] < limit[live]]
+    out = np.minimum(out, limit)
+    for _ in range(3):  # the last word may agree in part
+        more = np.flatnonzero(out < limit)
+        more = more[padded[a[more] + out[more]] == padded[b[more] + out[more]]]
+        out[more] += 1
+    return out
 
 
 class RunIndex:
-    """Run-length BWT of segments, with samples at run ends, and the limits of the intervals of ``width`` equal symbols."""
+    """The runs of the Burrows-Wheeler transform of segments, and what is known at the run ends.
+
+    ``above``: places that head a run (sorted), where the row above is, and how far the two agree; ``below`` likewise for
+    places that end a run. A segment's first place counts as a run of its own.
+    """
 
     def __init__(self, segments: list[bytes], width: int = WIDTH):
         lens = np.array([len(s) for s in segments], dtype=np.int64)
-        self.lens, self.width = lens, width
+        self.width = width
         ends = np.cumsum(lens + 1) - 1
         sym = np.frombuffer(b"\x00".join(segments) + b"\x00", np.uint8).astype(np.int64) + 1
         sym[ends] = 0
-        n = len(sym)
+        n = self.n = len(sym)
         left = np.repeat(ends + 1, lens + 1) - np.arange(n)
-        order, wide = suffix_array(sym, left, width)
+        order = suffix_array(sym, left)
         bwt = sym[order - 1]
-        first = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-        self.n, self.run_start, self.run_symbol = n, first, bwt[first]
-        run_len = np.diff(np.append(first, n))
-        # Where a run's first row goes by LF: symbols before, then the same symbol in earlier runs.
-        by_symbol = np.argsort(self.run_symbol, kind="stable")
-        self.run_to = np.empty(len(first), dtype=np.int64)
-        self.run_to[by_symbol] = np.cumsum(run_len[by_symbol]) - run_len[by_symbol]
-        self.run_to -= first  # so that a row only adds itself
-        self.run_of = np.repeat(np.arange(len(first), dtype=np.int32), run_len)  # directory, while the batch is streamed
-        self.head_sample, self.tail_sample = order[first], order[first + run_len - 1]
-        new = np.concatenate([[True], wide[order][1:] != wide[order][:-1]])
-        self.interval_start = np.flatnonzero(new)
-
-    def lf(self, rows: np.ndarray) -> np.ndarray:
-        """Rows of the suffixes one symbol longer."""
-        return self.run_to[self.run_of[rows]] + rows
-
-    def stream(self):
-        """(offset from the segments' ends, segments, rows) of every place, all segments in step, longest first."""
-        order = np.argsort(-self.lens, kind="stable")
-        lens, rows = self.lens[order], order  # the end of segment s is row s
-        for back in range(1, int(lens[0]) + 1 if len(lens) else 1):
-            live = int(np.searchsorted(-lens, -back, side="right"))
-            rows = self.lf(rows[:live])
-            yield back, order[:live], rows
-
-    def locate(self, row: int) -> int:
-        """Text place of a row: LF steps to the nearest sampled run end."""
-        steps = 0
-        while True:
-            run = self.run_of[row]
-            last = (self.run_start[run + 1] if run + 1 < len(self.run_start) else self.n) - 1
-            if row in (self.run_start[run], last):
-                sample = self.head_sample if row == self.run_start[run] else self.tail_sample
-                return int((sample[run] + steps) % self.n)
-            row, steps = int(self.lf(np.array([row]))[0]), steps + 1
-
-    def repeated(self, order_of: np.ndarray) -> list[np.ndarray]:
-        """For each segment, the offsets of its strings that are not the earliest place of theirs.
-
-        ``order_of``: of each segment, a key such that key + offset orders all places.
-        """
-        key = np.full(self.n, np.iinfo(np.int64).max, dtype=np.int64)
-        where = np.full(self.n, -1, dtype=np.int64)
-        for back, segments, rows in self.stream():
-            if back < self.width:
-                continue
-            offset = self.lens[segments] - back
-            key[rows] = order_of[segments] + offset
-            where[rows] = segments << 32 | offset
-        least = np.minimum.reduceat(key, self.interval_start) if self.n else key
-        interval = np.searchsorted(self.interval_start, np.arange(self.n), side="right") - 1
-        hit = where[(where >= 0) & (key != least[interval])]
-        hit.sort()
-        cuts = np.searchsorted(hit, np.arange(len(self.lens) + 1) << 32)
-        return [hit[a:b] & 0xFFFFFFFF for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        head = np.ones(n, dtype=bool)
+        head[1:] = (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)
+        rows = np.flatnonzero(head)
+        self.run_symbol, self.run_start = bwt[rows].astype(np.int16), rows.astype(np.int32)
+        rows = rows[rows > 0]
+        place, other = order[rows], order[rows - 1]
+        agree = common_length(sym, left, place, other)
+        self.above, self.below = self._samples(place, other, agree), self._samples(other, place, agree)
+
+    @staticmethod
+    def _samples(place, other, agree):
+        by = np.argsort(place, kind="stable")
+        return tuple(x[by].astype(np.int32) for x in (place, other, agree))
+
+    def nbytes(self) -> int:
+        """Memory that the index keeps."""
+        return sum(x.nbytes for x in (self.run_symbol, self.run_start, *self.above, *self.below))
+
+    def neighbour(self, samples, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in the neighbouring row, and how far each agrees with it, from the nearest sample at or before it."""
+        at, other, agree = samples
+        k = np.searchsorted(at, places.astype(np.int32), side="right") - 1
+        known = k >= 0
+        k = np.maximum(k, 0)
+        passed = places - at[k]
+        return other[k] + passed, np.where(known, agree[k] - passed, 0)
+
+    def matching_statistics(self, block: int = STREAM):
+        """(first place, lengths above, lengths below) block by block: the longest match of each place with its neighbours."""
+        for a in range(0, self.n, block):
+            places = np.arange(a, min(a + block, self.n))
+            yield a, self.neighbour(self.above, places)[1], self.neighbour(self.below, places)[1]
+
+    def repeated(self) -> np.ndarray:
+        """The places, sorted, whose ``width`` symbols also start at an earlier place."""
+        if not len(self.above[0]):
+            return np.zeros(0, np.int64)
+        found = []
+        for a, up, down in self.matching_statistics():
+            found.append(self._later(a + np.flatnonzero(np.maximum(up, down) >= self.width)))
+        return np.concatenate(found)
+
+    def _later(self, places: np.ndarray) -> np.ndarray:
+        """Those of some places that have an equal string earlier in the text: neighbours are followed on both sides in turn."""
+        hits, at = [], [places.copy(), places.copy()]
+        live = [np.ones(len(places), bool), np.ones(len(places), bool)]
+        while len(places):
+            done = np.zeros(len(places), bool)
+            for side, samples in enumerate((self.above, self.below)):
+                k = np.flatnonzero(live[side] & ~done)
+                nxt, agree = self.neighbour(samples, at[side][k])
+                ok = agree >= self.width
+                live[side][k] = ok
+                at[side][k] = np.where(ok, nxt, at[side][k])
+                done[k] = ok & (nxt < places[k])
+            hits.append(places[done])
+            stay = ~done & (live[0] | live[1])
+            places = places[stay]
+            at, live = [x[stay] for x in at], [x[stay] for x in live]
+        return np.sort(np.concatenate(hits)) if hits else places
 
 
 # ---------------------------------------------------------------- segments
@@ -196,12 +225,28 @@ def _pair_key(doc, anchor):
     return _text.mix(anchor ^ _text.mix(np.asarray(doc).astype(np.uint64), 5))
 
 
+def _parts(batch, width):
+    """(row of the first text, rows, bytes, offsets, place of the first byte in its text): blocks of texts; a long text in parts that share all but one string's bytes."""
+    buf, offsets = _text.text_buffer(batch.column("text"))
+    step = 1 << 21
+    for i, j in _text.blocks(offsets):
+        a, b = int(offsets[i]), int(offsets[j])
+        if b - a <= 2 * step:
+            yield i, j, buf[a:b], offsets[i : j + 1] - a, 0
+            continue
+        for s in range(a, b, step):
+            e = min(s + step + width - 1, b)
+            if s == a or e - s >= width:
+                yield i, j, buf[s:e], np.array([0, e - s], np.int64), s - a
+
+
 def _scan(width, gram):
+    """Row, n_bytes, kept_sha256 (of the whole text) and anchors; a long text has more rows, with anchors only."""
+
     def run(batches):
         for batch in batches:
-            buf, offsets = _text.text_buffer(batch.column("text"))
-            for i, j in _text.blocks(offsets):
-                data, offs = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            column = batch.column("text")
+            for i, j, data, offs, base in _parts(batch, width):
                 doc, at, anchor, grams = _strings(data, offs, width, gram)
                 start = _runs(doc, at, anchor)
                 d, v, _ = _text.sorted_pairs(doc[start], anchor[start])
@@ -210,22 +255,33 @@ def _scan(width, gram):
                 order = np.argsort(d, kind="stable")
                 cuts = np.searchsorted(d[order], np.arange(j - i + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(v[order].view(np.int64)))
-                raw = data.tobytes()
-                sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(offs)), pa.array(sha, pa.string()), lists], ["doc_id", "n_bytes", "kept_sha256", "anchors"])
+                if base:
+                    size, sha = [None], [None]
+                elif j - i == 1:
+                    whole = (column[i].as_py() or "").encode()
+                    size, sha = [len(whole)], [hashlib.sha256(whole).hexdigest()]
+                else:
+                    raw = data.tobytes()
+                    size, sha = np.diff(offs), [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ROW), pa.array(size, pa.int64()), pa.array(sha, pa.string()), lists], [*ROW, "n_bytes", "kept_sha256", "anchors"])
 
     return run
 
 
+def _digests(raw: bytes, starts, ends) -> list[np.ndarray]:
+    """128-bit digests of slices, as two longs each."""
+    blake = hashlib.blake2b
+    both = np.frombuffer(b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    return [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])]
+
+
 def _segments(width, gram):
-    """Occurrences of the segments under wanted anchors: place, number of strings, content hash."""
+    """Occurrences of the segments under wanted anchors: place, number of strings, digest of the content."""
 
     def run(batches):
         for batch in batches:
-            buf, offsets = _text.text_buffer(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, j in _text.blocks(offsets):
-                data, offs = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
+            for i, j, data, offs, base in _parts(batch, width):
                 doc, at, anchor, grams = _strings(data, offs, width, gram)
                 wanted = batch.column("anchors").slice(i, j - i)
                 keys = _pair_key(np.repeat(np.arange(j - i), np.diff(np.asarray(wanted.offsets))), np.asarray(wanted.flatten()).view(np.uint64))
@@ -234,30 +290,58 @@ def _segments(width, gram):
                 mine = _pair_key(doc[first], anchor[first])
                 ok = np.isin(mine, keys)
                 first, count, mine = first[ok], count[ok], mine[ok]
-                twice = _twice(doc, at, anchor, grams, width, gram)
-                own = np.isin(mine, _pair_key(*twice))
-                a, b = at[first], at[first] + count + width - 1
-                h = _text.mix(_text.spans_hash(data.astype(np.uint64) + np.uint64(1), a, b, OTHER) ^ (count.astype(np.uint64) << np.uint64(40)), 9)
+                own = np.isin(mine, _pair_key(*_twice(doc, at, anchor, grams, width, gram)))
+                a = at[first]
+                c1, c2 = _digests(data.tobytes(), a, a + count + width - 1)
+                of = doc[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[first].view(np.int64)), pa.array(h.view(np.int64)), pa.array(ids[i:j][doc[first]]), pa.array((a - offs[:-1][doc[first]]).astype(np.int64)), pa.array(count.astype(np.int64)), pa.array(own)],
-                    ["anchor", "content", "doc_id", "pos", "strings", "own"],
+                    [pa.array(x) for x in (anchor[first].view(np.int64), c1, c2, ids[i:j][of], marks[i:j][of], a - offs[:-1][of] + base, count.astype(np.int64), own)],
+                    ["anchor", "c1", "c2", *ROW, "pos", "strings", "own"],
                 )
 
     return run
 
 
+SEGMENT = "anchor long, doc_id long, mark long, pos long, segment binary"
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+NAMES = ["anchor", *ROW, "pos", "segment"]
+
+
 def _cut_out(width):
     """The text of the wanted segments of each document."""
 
     def run(batches):
         for batch in batches:
-            rows = [[], [], [], []]
-            for doc_id, t, want in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("want").to_pylist(), strict=True):
+            rows, size = [], 0
+            for doc_id, mark, t, want in zip(*(batch.column(c).to_pylist() for c in ROW), batch.column("text"), batch.column("want"), strict=True):
                 data = (t.as_py() or "").encode()
-                for w in want:
-                    for k, x in enumerate((w["anchor"], doc_id, w["pos"], data[w["pos"] : w["pos"] + w["strings"] + width - 1])):
-                        rows[k].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary())], ["anchor", "doc_id", "pos", "segment"])
+                for w in want.as_py():
+                    rows.append((w["anchor"], doc_id, mark, w["pos"], data[w["pos"] : w["pos"] + w["strings"] + width - 1]))
+                    size += len(rows[-1][-1])
+                    if size > 1 << 24:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
+
+    return run
+
+
+def _finer(width, fine):
+    """Segments cut into runs of strings under a second anchor; the new anchor stands for both."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for anchor, doc_id, mark, pos, segment in zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True):
+                values = np.frombuffer(segment, np.uint8).astype(np.uint64) + np.uint64(1)
+                second = _text.sliding_min(_text.window_hashes(values, fine, _text.STEP, seed=22), width - fine + 1)
+                start = np.flatnonzero(np.concatenate([[True], second[1:] != second[:-1]]))
+                names = _text.mix(second[start] ^ _text.mix(np.array([anchor], np.int64).view(np.uint64), 6)).view(np.int64)
+                for a, b, name in zip(start.tolist(), [*start[1:].tolist(), len(second)], names.tolist(), strict=True):
+                    rows.append((name, doc_id, mark, pos + a, segment[a : b + width - 1]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
 
     return run
 
@@ -273,30 +357,32 @@ class Batch:
     def __init__(self, width: int = WIDTH):
         self.width, self.first, self.marks, self.size = width, {}, [], 0
 
-    def add(self, doc_id: int, pos: int, segment: bytes) -> None:
+    def add(self, row: tuple[int, int], pos: int, segment: bytes) -> None:
         for a in range(0, max(len(segment) - self.width + 1, 1), PIECE):
-            piece, at = segment[a : a + PIECE + self.width - 1], (doc_id, pos + a)
+            piece, at = segment[a : a + PIECE + self.width - 1], (*row, pos + a)
             old = self.first.get(piece)
             if old is None:
                 self.first[piece] = at
                 self.size += len(piece)
             elif old != at:
                 self.first[piece], again = min(old, at), max(old, at)
-                self.marks.append((again[0], again[1], again[1] + len(piece)))
+                self.marks.append((*again, again[2] + len(piece)))
 
     def finish(self) -> list[np.ndarray]:
-        """(doc_id, start, end) of the repeated bytes."""
-        places = np.array(list(self.first.values()), dtype=np.int64).reshape(-1, 2)
-        doc_ids, pos = places[:, 0], places[:, 1]
-        _, rank = np.unique(doc_ids, return_inverse=True)
-        found = RunIndex(list(self.first), self.width).repeated((rank.astype(np.int64) << 40) + pos) if len(places) else []
-        out = [[np.array([m[k] for m in self.marks], dtype=np.int64)] for k in range(3)]
-        for s, hit in enumerate(found):
+        """(doc_id, mark, start, end) of the repeated bytes."""
+        out = [[np.array([m[k] for m in self.marks], dtype=np.int64)] for k in range(4)]
+        if self.first:
+            # In the order of their places, so that the earlier of two places of the text is the smaller.
+            pieces = sorted(self.first.items(), key=lambda x: x[1])
+            places = np.array([p for _, p in pieces], dtype=np.int64)
+            starts = np.cumsum([0, *(len(s) + 1 for s, _ in pieces[:-1])])
+            hit = RunIndex([s for s, _ in pieces], self.width).repeated()
             if len(hit):
                 new = np.flatnonzero(np.concatenate([[True], hit[1:] != hit[:-1] + 1]))
-                out[0].append(np.full(len(new), doc_ids[s]))
-                out[1].append(hit[new] + pos[s])
-                out[2].append(hit[np.append(new[1:], len(hit)) - 1] + pos[s] + self.width)
+                of = np.searchsorted(starts, hit[new], side="right") - 1
+                shift = places[of, 2] - starts[of]
+                for k, x in enumerate((places[of, 0], places[of, 1], hit[new] + shift, hit[np.append(new[1:], len(hit)) - 1] + shift + self.width)):
+                    out[k].append(x)
         return [np.concatenate(x) for x in out]
 
 
@@ -304,110 +390,149 @@ def _index(width):
     """Marks of the segments of a partition, sorted by anchor, in batches of whole anchors."""
 
     def out(batch):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in batch.finish()], ["doc_id", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in batch.finish()], [*ROW, "a", "b"])
 
     def run(batches):
         held, last = Batch(width), None
         for batch in batches:
-            for anchor, doc_id, pos, segment in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "pos", "segment")), strict=True):
+            for anchor, doc_id, mark, pos, segment in zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True):
                 if held.size >= BATCH and anchor != last:
                     yield out(held)
                     held = Batch(width)
-                held.add(doc_id, pos, segment)
+                held.add((doc_id, mark), pos, segment)
                 last = anchor
         yield out(held)
 
     return run
 
 
-def _hashed_strings(width):
+def _counted_strings(width):
+    """Every string of each segment, by its digest."""
+
     def run(batches):
         for batch in batches:
-            for doc_id, pos, segment in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "segment")), strict=True):
-                values = np.frombuffer(segment, np.uint8).astype(np.uint64) + np.uint64(1)
-                a, b = _text.window_hashes(values, width, _text.STEP, 1), _text.window_hashes(values, width, OTHER, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), doc_id, np.int64)), pa.array(pos + np.arange(len(a))), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["doc_id", "pos", "h1", "h2"])
+            for doc_id, mark, pos, segment in zip(*(batch.column(c).to_pylist() for c in (*ROW, "pos", "segment")), strict=True):
+                at = np.arange(len(segment) - width + 1)
+                c1, c2 = _digests(segment, at, at + width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc_id, np.int64)), pa.array(np.full(len(at), mark, np.int64)), pa.array(pos + at), pa.array(c1), pa.array(c2)], [*ROW, "pos", "c1", "c2"])
 
     return run
 
 
+def _merged(marks) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal spans of a list of (a, b)."""
+    a, b = (np.array([m[k] for m in marks], dtype=np.int64) for k in ("a", "b"))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    return a[new], b[np.append(new[1:], len(a)) - 1]
+
+
 def _remove(batches):
+    """Texts without their marked bytes: counts, digest, spans and the bytes that are left."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         out = []
-        for t, marks in zip(batch.column("text"), batch.column("marks").to_pylist(), strict=True):
-            data = np.frombuffer((t.as_py() or "").encode(), np.uint8)
-            edge = np.zeros(len(data) + 1, dtype=np.int64)
-            for m in marks:
-                edge[min(m["a"], len(data))] += 1
-                edge[min(m["b"], len(data))] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
-            spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            out.append((len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
-        n, removed, spans, sha = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for t, marks in zip(batch.column("text"), batch.column("marks"), strict=True):
+            data = (t.as_py() or "").encode()
+            a, b = _merged(marks.as_py())
+            left = b"".join([data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)])
+            spans = [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            out.append((len(data), len(data) - len(left), len(a), hashlib.sha256(left).hexdigest(), spans, left))
+        cols = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind, pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], [*ROW, "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_spans", "cleaned"])
+
+
+SPANS = "array<struct<start:bigint,end:bigint>>"
+REMOVED = f"doc_id long, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_spans {SPANS}, cleaned binary"
 
 
 def repeated_marks(marked: DataFrame, width: int = WIDTH, gram: int = GRAM, contents: int = CONTENTS) -> DataFrame:
-    """doc_id and marks, an array of (a, b): spans of repeated bytes in documents with the anchors to look at."""
-    seen = _store.materialise(marked.mapInArrow(_segments(width, gram), "anchor long, content long, doc_id long, pos long, strings long, own boolean"), "segments")
-    place = F.struct("doc_id", "pos")
-    kinds = seen.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max("strings").alias("strings"), F.max("own").alias("own"), F.count("*").alias("n"))
-    kinds = _store.materialise(kinds, "contents", free=True)
+    """Row and marks, an array of (a, b): spans of repeated bytes in documents with the anchors to look at."""
+    seen = _store.materialise(marked.mapInArrow(_segments(width, gram), "anchor long, c1 long, c2 long, doc_id long, mark long, pos long, strings long, own boolean"), "segments")
+    place = F.struct(*ROW, "pos")
+    content = ["anchor", "c1", "c2"]
+    # Rows repeated with one doc_id and text give the same places; a place counts once.
+    kinds = seen.groupBy(*content).agg(F.min(place).alias("first"), F.max("strings").alias("strings"), F.max("own").alias("own"), F.count("*").alias("n"))
+    kinds = _store.materialise(kinds, "contents")
     # All but the first occurrence of a content, as a whole.
-    many = kinds.filter("n > 1").select("anchor", "content", "first")
-    later = seen.join(many, ["anchor", "content"]).filter(place != F.col("first")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + F.col("strings") + width - 1).alias("b"))
+    many = _store.materialise(kinds.filter("n > 1").select(*content, "first", "n"), "many")
+    later = _store.spread_join(seen, many, content, [*ROW, "pos"]).filter(place != F.col("first")).select(*ROW, F.col("pos").alias("a"), (F.col("pos") + F.col("strings") + width - 1).alias("b"))
     # The first occurrences where an anchor has several contents or comes twice in a document.
-    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("own").alias("any_own")).filter("kinds > 1 or any_own")
-    want = kinds.join(open_.select("anchor", "kinds"), "anchor").select(F.col("first.doc_id").alias("doc_id"), F.struct("anchor", F.col("first.pos").alias("pos"), "strings").alias("w"), "kinds")
-    want = want.groupBy("doc_id").agg(F.collect_list("w").alias("want"))
-    one = marked.select("doc_id", "text")
-    if not marked.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows
-        one = one.dropDuplicates(["doc_id"])
-    texts = one.join(want, "doc_id").mapInArrow(_cut_out(width), "anchor long, doc_id long, pos long, segment binary")
-    made = texts = _store.materialise(texts, "texts")
-    hot = _store.materialise(open_.filter(F.col("kinds") > contents).select("anchor"), "hot")
+    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).filter("n > 1 or any_own").select("anchor", "n")
+    open_ = _store.materialise(open_, "open")
+    lone = kinds.select("anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"), F.col("first.pos").alias("pos"), "strings")
+    want = _store.spread_join(lone, open_, ["anchor"], [*ROW, "pos"]).groupBy(*ROW).agg(F.collect_list(F.struct("anchor", "pos", "strings")).alias("want"))
+    texts = marked.select(*ROW, "text").join(want, ROW)
+    if not marked.groupBy(*ROW).count().filter("count > 1").isEmpty():  # repeated rows
+        texts = texts.dropDuplicates(ROW)
+    made = texts = _store.materialise(texts.mapInArrow(_cut_out(width), SEGMENT), "texts")
+    stored = [seen, kinds, many, open_, made]
     marks = later
+    hot = _store.materialise(open_.filter(F.col("n") > contents).select("anchor"), "hot")
     if not hot.isEmpty():
-        strings = texts.join(hot, "anchor", "left_semi").mapInArrow(_hashed_strings(width), "doc_id long, pos long, h1 long, h2 long")
-        firsts = strings.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        again = strings.join(firsts, ["h1", "h2"]).filter(place != F.col("first")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + width).alias("b"))
-        marks = marks.unionByName(again)
-        texts = texts.join(hot, "anchor", "left_anti")
-    indexed = texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index(width), "doc_id long, a long, b long")
-    out = marks.unionByName(indexed).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    out = _store.materialise(out, "marks", free=True)
-    _store.discard(seen, kinds, made, hot)
+        few = F.broadcast(hot) if hot.limit(100_001).count() <= 100_000 else hot
+        finer = _store.materialise(texts.join(few, "anchor", "left_semi").mapInArrow(_finer(width, min(FINE, gram)), SEGMENT), "finer")
+        full = _store.materialise(finer.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > contents).select("anchor"), "hot")
+        few_full = F.broadcast(full) if full.limit(100_001).count() <= 100_000 else full
+        texts = texts.join(few, "anchor", "left_anti").unionByName(finer.join(few_full, "anchor", "left_anti"))
+        stored.append(finer)
+        if not full.isEmpty():
+            strings = finer.join(few_full, "anchor", "left_semi").mapInArrow(_counted_strings(width), "doc_id long, mark long, pos long, c1 long, c2 long")
+            firsts = _store.materialise(strings.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
+            again = _store.spread_join(strings, firsts, ["c1", "c2"], [*ROW, "pos"]).filter(place != F.col("first"))
+            marks = marks.unionByName(again.select(*ROW, F.col("pos").alias("a"), (F.col("pos") + width).alias("b")))
+            stored.append(firsts)
+    indexed = texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index(width), "doc_id long, mark long, a long, b long")
+    out = marks.unionByName(indexed).groupBy(*ROW).agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    out = _store.materialise(out, "marks")
+    _store.discard(*stored)
     return out
 
 
-def byte_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, contents: int = CONTENTS) -> DataFrame:
+def _named(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    return _store.keyed_text(docs, text, id_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+
+
+def removed(named: DataFrame, width: int = WIDTH, gram: int = GRAM, contents: int = CONTENTS) -> tuple[DataFrame, DataFrame]:
+    """(row, n_bytes and kept_sha256 of every text as it is; row, counts, digest, spans and bytes left of those that lose some), both written."""
+    with _store.small_batches(named.sparkSession):
+        scanned = _store.materialise(named.mapInArrow(_scan(width, gram), "doc_id long, mark long, n_bytes long, kept_sha256 string, anchors array<long>"), "anchors")
+        stats = _store.materialise(scanned.filter("n_bytes is not null").drop("anchors"), "stats")
+        anchors = scanned.select(*ROW, F.explode("anchors").alias("anchor"))
+        shared = _store.materialise(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+        found = _store.spread_join(anchors, shared, ["anchor"], ROW).groupBy(*ROW).agg(F.collect_set("anchor").alias("anchors"))
+        found = _store.materialise(found, "found")
+        _store.discard(scanned, shared)
+        few = found.limit(FEW_IDS + 1).count() <= FEW_IDS
+        some = named.join(F.broadcast(found.select(*ROW)), ROW, "left_semi") if few else named
+        marked = _store.materialise(some.join(found, ROW), "marked")
+        _store.discard(found)
+        marks = repeated_marks(marked, width, gram, contents)
+        cut = _store.materialise(marked.select(*ROW, "text").join(marks, ROW).mapInArrow(_remove, REMOVED), "cut")
+        _store.discard(marked, marks)
+    return stats, cut
+
+
+def byte_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs`` with ``cleaned``, the bytes that are left (a cut can part a character), and ``removed_spans``."""
+    _, cut = removed(_named(docs, text, id_col), width, gram)
+    whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("mark"))
+    both = whole.join(cut.select(*ROW, "cleaned", "removed_spans").dropDuplicates(ROW), ROW, "left")
+    plain = F.encode(F.coalesce(F.col("row").getField(text).cast("string"), F.lit("")), "UTF-8")
+    return both.select("row.*", F.coalesce("cleaned", plain).alias("cleaned"), F.coalesce("removed_spans", F.array().cast(SPANS)).alias("removed_spans"))
+
+
+def digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, contents: int = CONTENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    with _store.small_batches(docs.sparkSession):
-        return _byte_dedup(docs, width, gram, contents)
-
-
-def _byte_dedup(docs, width, gram, contents):
-    named = _store.doc_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    scanned = _store.materialise(named.mapInArrow(_scan(width, gram), "doc_id long, n_bytes long, kept_sha256 string, anchors array<long>"), "anchors")
-    stats = _store.materialise(scanned.drop("anchors"), "stats")
-    anchors = scanned.select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    found = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    found = _store.materialise(found, "found", free=True)
-    _store.discard(scanned)
-    few = found.limit(FEW_IDS + 1).count() <= FEW_IDS
-    some = named.join(F.broadcast(found.select("doc_id")), "doc_id", "left_semi") if few else named
-    marked = _store.materialise(some.join(found, "doc_id"), "marked", free=True)
-    _store.discard(found)
-    marks = repeated_marks(marked, width, gram, contents)
-    cut = marked.select("doc_id", "text").join(marks, "doc_id").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    cut = _store.materialise(cut, "cut")
-    _store.discard(marked, marks)
+    stats, cut = removed(_named(docs), width, gram, contents)
     zero = F.lit(0).cast("long")
-    whole = stats.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256").join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
-    return whole.unionByName(cut).withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
+    whole = stats.select(*ROW, "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256").join(cut.select(*ROW).distinct(), ROW, "left_anti")
+    out = whole.unionByName(cut.drop("removed_spans", "cleaned"))
+    return out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op7_run_index(spark, sf_dir: str) -> DataFrame:
     """All documents without the 100-byte strings that start earlier in the corpus."""
-    return byte_dedup(_store.table(spark, sf_dir, "documents"))
+    return digests(_store.table(spark, sf_dir, "documents"))

@@ -175,18 +175,18 @@ def repeated_spans(named: DataFrame, found: DataFrame, width: int = WINDOW, gram
     """(doc_id, mark, spans): the word intervals to remove, of each row that has any; ``found`` as ``scanned``, written."""
     anchors = found.select(*ROW, F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("anchor", "n")
-    shared = _store.materialise(shared, "shared", free=True)
+    shared = _store.materialise(shared, "shared")
     marked = _store.spread_join(anchors, shared, ["anchor"], ROW).groupBy(*ROW).agg(F.collect_set("anchor").alias("anchors"))
-    marked = _store.materialise(marked, "found", free=True)
+    marked = _store.materialise(marked, "found")
     _store.discard(shared)
-    some = _store.materialise(_only(named, marked).join(marked, ROW), "marked", free=True)
+    some = _store.materialise(_only(named, marked).join(marked, ROW), "marked")
     _store.discard(marked)
     windows = some.mapInArrow(_windows(width, gram), "doc_id long, mark long, pos int, key long, digest long")
     firsts = windows.groupBy("key", "digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").drop("hi")
-    firsts = _store.materialise(firsts, "firsts", free=True)
+    firsts = _store.materialise(firsts, "firsts")
     hits = _store.spread_join(windows, firsts, ["key", "digest"], [*ROW, "pos"]).filter("doc_id > lo")
     spans = hits.groupBy(*ROW).agg(F.collect_list("pos").alias("places")).mapInArrow(_merge(width), f"doc_id long, mark long, spans {SPANS}")
-    spans = _store.materialise(spans, "spans", free=True)
+    spans = _store.materialise(spans, "spans")
     _store.discard(firsts, some)
     return spans
 
