@@ -206,32 +206,38 @@ def hashed(named: DataFrame, primes=PRIMES) -> DataFrame:
 def _pieces(primes):
     """The normalised chunks of each text with its class; an empty text has one empty chunk."""
 
+    def batch_of(batch, rows, cls, no, held):
+        named = [batch.column(c).take(pa.array(rows)) for c in ROW]
+        return pa.RecordBatch.from_arrays([*named, *(pa.array(x, pa.int64()) for x in cls), pa.array(no, pa.int32()), pa.array(held, pa.binary())], [*ROW, *CLASS, "chunk", "piece"])
+
     def run(batches):
         for batch in batches:
             buf, offsets = _text.text_buffer(batch.column("text"))
-            for i in range(len(offsets) - 1):
-                data = buf[offsets[i] : offsets[i + 1]]
-                f1, f2, n, _ = streamed(data, primes, sha=False)
-                held = [b""] if not n else []
-                no = size = 0
-                for chunk in chunk_streams(data):
-                    held.append(chunk.tobytes())
-                    size += 1
-                    if size == 64:
-                        yield _piece_batch(batch, i, (f1, f2, n), no, held)
-                        no, size, held = no + size, 0, []
-                if held:
-                    yield _piece_batch(batch, i, (f1, f2, n), no, held)
+            for i, j in _text.blocks(offsets):
+                if offsets[j] - offsets[i] > PIECE:  # one long text, some chunks at a time
+                    data = buf[offsets[i] : offsets[j]]
+                    f1, f2, n, _ = streamed(data, primes, sha=False)
+                    held, no = [], 0
+                    for chunk in chunk_streams(data):
+                        held.append(chunk.tobytes())
+                        if len(held) == 64:
+                            yield batch_of(batch, [i] * 64, [[x] * 64 for x in (f1, f2, n)], range(no, no + 64), held)
+                            no, held = no + 64, []
+                    if held:
+                        yield batch_of(batch, [i] * len(held), [[x] * len(held) for x in (f1, f2, n)], range(no, no + len(held)), held)
+                    continue
+                clean, offs = normalise(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                fp, lens, raw = fingerprints(clean, offs, primes), np.diff(offs), clean.tobytes()
+                count = np.maximum(-(-lens // CHUNK), 1)
+                of = np.repeat(np.arange(j - i), count)
+                no = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                starts = offs[of] + no * CHUNK
+                ends = np.minimum(starts + CHUNK, offs[of + 1])
+                yield batch_of(batch, of + i, [fp[of, 0], fp[of, 1], lens[of]], no, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
     return run
 
 
-def _piece_batch(batch, i, cls, no, held):
-    k = len(held)
-    row = [pa.array(batch.column(c).slice(i, 1).to_pylist() * k, pa.int64()) for c in ROW]
-    return pa.RecordBatch.from_arrays(row + [pa.array([x] * k, pa.int64()) for x in cls] + [pa.array(range(no, no + k), pa.int32()), pa.array(held, pa.binary())], [*ROW, *CLASS, "chunk", "piece"])
-
-
 def _first(rows: DataFrame) -> DataFrame:
     """The first row of each class and how many it has."""
     early = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
@@ -248,7 +254,7 @@ def verified(named: DataFrame, classes: DataFrame, primes=PRIMES) -> DataFrame |
         pieces = pieces.join(F.broadcast(classes.select(*CLASS)), CLASS, "left_semi")
     else:
         pieces = _store.spread_join(pieces, classes.select(*CLASS, "n"), CLASS, [*ROW, "chunk"], SALT_ROWS)
-    left = members = _store.materialise(pieces, "members", free=True)
+    left = members = _store.materialise(pieces, "members")
     apart, sub, first = None, 0, classes
     while True:
         same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
@@ -256,7 +262,7 @@ def verified(named: DataFrame, classes: DataFrame, primes=PRIMES) -> DataFrame |
         reps = left.join(F.broadcast(first) if few else first, CLASS).filter(same).dropDuplicates([*CLASS, "chunk"])
         reps = _store.materialise(reps.select(*CLASS, "chunk", F.col("piece").alias("rep"), "n"), "representatives")
         compared = _store.spread_join(left, reps, [*CLASS, "chunk"], ROW, SALT_ROWS)
-        differ = _store.materialise(compared.filter(F.col("piece") != F.col("rep")).select(*CLASS, *ROW).distinct(), "differ", free=True)
+        differ = _store.materialise(compared.filter(F.col("piece") != F.col("rep")).select(*CLASS, *ROW).distinct(), "differ")
         _store.discard(reps)
         if differ.isEmpty():
             _store.discard(members)
