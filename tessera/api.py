@@ -11,6 +11,7 @@ import hashlib
 import json
 import os
 import posixpath
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from .streaming import incremental
 # Fixed values.
 BUDGET, FLOOR, MODE = 8000, 0.95, "safe"
 POLL_MS = 5000
+DEBOUNCE_S = 2.0
 ENTRYPOINTS = 20
 
 
@@ -84,7 +86,7 @@ class Workspace:
         options = {"exclude": exclude} if exclude else {}
         files = checkpoint(parse.with_file_facts(tree.read_tree(self.spark, root, repo_id=repository_id, **options)))
         symbols = checkpoint(contracts.add_contract(parse.parse_symbols(files)))
-        self.projects[repository_id] = {"root": root, "options": options, "files": files, "symbols": symbols, "log": bound["log"] if bound else None, "batches": bound["batches"] if bound else 0, "watch": None}
+        self.projects[repository_id] = {"root": root, "options": options, "files": files, "symbols": symbols, "log": bound["log"] if bound else None, "batches": bound["batches"] if bound else 0, "watch": None, "pending": None}
         self._relink(repository_id)
         return self.project_stats(repository_id)
 
@@ -117,24 +119,48 @@ class Workspace:
     # ---- watching
 
     def project_refresh(self, repository_id: str) -> DataFrame:
-        """Look at the tree again: renew what changed; the changes of this look, by file."""
+        """Look at the tree again: renew what changed; the changes of this look, by file.
+
+        Times are listed first; only files that changed are read and parsed.
+        """
         p = self._project(repository_id)
-        now = parse.with_file_facts(tree.read_tree(self.spark, p["root"], repo_id=repository_id, **p["options"]))
-        now = checkpoint(now)
-        diff = checkpoint(incremental.listing_diff(incremental.snapshot(p["files"]), incremental.snapshot(now)))
+        diff = checkpoint(self._changes(p))
         p["batches"] += 1
         if diff.isEmpty():
             return diff.select(F.lit(p["batches"]).cast("long").alias("batch_ts"), "path", "change", F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("deleted"))
-        fresh = contracts.add_contract(parse.parse_symbols(now.join(diff, "path", "left_semi")))
+        paths_now = [r["path"] for r in diff.filter("change <> 'deleted'").select("path").collect()]  # as many as files changed since the last look
+        read = tree.read_tree(self.spark, p["root"], repo_id=repository_id, only=json.dumps(paths_now))
+        order = p["files"].select("path", F.col("file_ord").alias("old_ord"))
+        last = p["files"].agg(F.coalesce(F.max("file_ord"), F.lit(-1))).first()[0]
+        read = read.join(order, "path", "left").withColumn("file_ord", F.coalesce("old_ord", F.col("file_ord") + (last + 1))).drop("old_ord")
+        now = checkpoint(parse.with_file_facts(read))
+        files = checkpoint(incremental.apply_changes(p["files"], diff, now))
+        fresh = contracts.add_contract(parse.parse_symbols(now))
         symbols = checkpoint(incremental.apply_changes(p["symbols"], diff, fresh))
         touched = lambda s: s.join(diff, "path", "left_semi")
         counts = incremental.change_counts(incremental.symbol_diff(touched(p["symbols"]), touched(symbols)))
         rows = diff.join(counts, "path", "left").na.fill(0, ["added", "deleted"]).select(F.lit(p["batches"]).cast("long").alias("batch_ts"), "path", "change", "added", "deleted")
         rows = checkpoint(rows)
-        p |= {"files": now, "symbols": symbols, "log": incremental.retained(rows if p["log"] is None else p["log"].unionByName(rows))}
+        p |= {"files": files, "symbols": symbols, "log": checkpoint(incremental.retained(rows if p["log"] is None else p["log"].unionByName(rows)))}
         self._relink(repository_id)
         return rows
 
+    def _changes(self, p: dict) -> DataFrame:
+        """(path, change) of files since the last look, from their times alone."""
+        listed = tree.list_tree(p["root"], exclude=p["options"].get("exclude"))
+        now = self.spark.createDataFrame([x[:2] for x in listed], "path string, mtime_ms long")
+        return incremental.listing_diff(incremental.snapshot(p["files"]), now)
+
+    def _tick(self, repository_id: str) -> None:
+        """One look of a watch. Changes wait until two seconds have passed since they were seen; meanwhile nothing is looked at."""
+        p = self._project(repository_id)
+        if p["pending"] is None:
+            if not self._changes(p).isEmpty():
+                p["pending"] = time.monotonic()
+        elif time.monotonic() - p["pending"] >= DEBOUNCE_S:
+            p["pending"] = None
+            self.project_refresh(repository_id)
+
     def project_watch_start(self, repository_id: str, path: str, interval: int = POLL_MS, exclude: list[str] | None = None) -> StreamingQuery:
         """Scan, then look again every ``interval`` milliseconds until stopped."""
         if repository_id not in self.projects:
@@ -143,7 +169,7 @@ class Workspace:
         if p["watch"] and p["watch"].isActive:
             return p["watch"]
         ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        p["watch"] = ticks.writeStream.foreachBatch(lambda _, n: self.project_refresh(repository_id)).trigger(processingTime=f"{interval} milliseconds").start()
+        p["watch"] = ticks.writeStream.foreachBatch(lambda _, n: self._tick(repository_id)).trigger(processingTime=f"{interval} milliseconds").start()
         return p["watch"]
 
     def project_watch_stop(self, repository_id: str) -> bool:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from ..functions import identity
+from ..storage import exists
 
 # Fixed values.
 MAX_BYTES = 50 * 1024 * 1024
@@ -29,27 +29,41 @@ def inflate(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else zlib.decompress(bytes(x)))
 
 
+def too_large(content: str, limit: int = MAX_BYTES) -> Column:
+    """Whether a store refuses a content."""
+    return F.coalesce(F.octet_length(F.col(content).cast("binary")) > limit, F.lit(False))
+
+
 def put(puts: DataFrame) -> DataFrame:
     """Artifacts of puts (put_ord, content, mime, created, ttl, pinned, tags): one row a content, the first put's properties, refs counted.
 
-    Properties are aggregated by hash without the content, which is joined back from the first put only.
+    Puts of one content are merged before the shuffle, so a content goes over the wire once a partition at most.
     """
     data = puts.withColumn("content", F.col("content").cast("binary")).withColumn("artifact_id", F.sha2("content", 256))
-    fits = data.filter(F.octet_length("content") <= MAX_BYTES)
-    first = fits.groupBy("artifact_id").agg(F.min("put_ord").alias("put_ord"), F.count("*").alias("refs"))
-    out = fits.join(first, ["artifact_id", "put_ord"])
+    fits = data.filter(~too_large("content"))
+    whole = F.struct(*[c for c in fits.columns if c != "artifact_id"])
+    out = fits.groupBy("artifact_id").agg(F.min_by(whole, "put_ord").alias("first"), F.count("*").alias("refs")).select("artifact_id", "first.*", "refs")
     size = F.octet_length("content").cast("long")
     return out.withColumns({"size": size, "chunk_count": F.greatest(F.lit(1), F.ceil(size / CHUNK)).cast("int"), "hash_prefix": F.substring("artifact_id", 1, 2)})
 
 
-def too_large(puts: DataFrame) -> DataFrame:
-    """Puts that the store refuses."""
-    return puts.filter(F.octet_length(F.col("content").cast("binary")) > MAX_BYTES)
+def write(artifacts: DataFrame, path: str, ord_: Column | None = None) -> None:
+    """Add versions of artifacts to a store: blobs by the first two digits of their hash, one task a prefix at most, and a log of all else.
+
+    Every write adds rows to the log with the number ``ord_`` (of the put, where none is given); blobs that are there already are not written again.
+    """
+    spark = artifacts.sparkSession
+    blobs = artifacts.select("artifact_id", "hash_prefix", deflate("content").alias("packed"))
+    if exists(spark, f"{path}/blobs"):
+        blobs = blobs.join(spark.read.parquet(f"{path}/blobs").select("artifact_id"), "artifact_id", "left_anti")
+    blobs.repartition("hash_prefix").write.mode("append").partitionBy("hash_prefix").parquet(f"{path}/blobs")
+    artifacts.drop("content").withColumn("log_ord", (F.col("put_ord") if ord_ is None else ord_).cast("long")).write.mode("append").parquet(f"{path}/log")
 
 
-def write(artifacts: DataFrame, path: str) -> None:
-    """Blobs as Parquet by the first two digits of their hash, one task a prefix at most."""
-    artifacts.repartition("hash_prefix").write.mode("append").partitionBy("hash_prefix").option("compression", "zstd").parquet(path)
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The artifacts of a store: the newest row of the log of each, with its content."""
+    blobs = spark.read.parquet(f"{path}/blobs").select("artifact_id", inflate("packed").alias("content"))
+    return latest(spark.read.parquet(f"{path}/log"), "artifact_id", "log_ord").join(blobs, "artifact_id")
 
 
 def get(artifacts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -60,9 +74,8 @@ def get(artifacts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def chunks(artifacts: DataFrame) -> DataFrame:
     """The plain bytes of every artifact in numbered chunks."""
-    number = F.sequence(F.lit(0), F.col("chunk_count") - 1)
-    out = artifacts.select("artifact_id", "content", "chunk_count", F.explode(number).alias("chunk_index"))
-    return out.select("artifact_id", "chunk_index", "chunk_count", F.expr(f"substring(content, chunk_index * {CHUNK} + 1, {CHUNK})").alias("data"))
+    pieces = F.expr(f"transform(sequence(0, chunk_count - 1), k -> substring(content, k * {CHUNK} + 1, {CHUNK}))")  # cut once, so no row carries the whole
+    return artifacts.select("artifact_id", "chunk_count", F.posexplode(pieces).alias("chunk_index", "data")).select("artifact_id", "chunk_index", "chunk_count", "data")
 
 
 def truncated(text: Column, limit: int = COPY_LIMIT) -> Column:
@@ -118,10 +131,7 @@ def stats(artifacts: DataFrame, compressed: Column) -> DataFrame:
     return out.withColumn("ratio", F.when(F.col("total_bytes") > 0, saved).otherwise(0).cast("long"))
 
 
-def blob_ids(content: Column) -> Column:
-    return identity.content_hash(content)
-
-
 def latest(log: DataFrame, key: str = "artifact_id", ord_: str = "ord") -> DataFrame:
     """The last row of each key of an append-only metadata log."""
-    return log.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ord_)))).filter("r = 1").drop("r")
+    whole = F.struct(*[c for c in log.columns if c != key])
+    return log.groupBy(key).agg(F.max_by(whole, ord_).alias("last")).select(key, "last.*")

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..storage import checkpoint
 
 FILE = ["repo_id", "path"]
-#: The kinds of edges.
-EDGE_TYPES = ("import", "export", "re_export", "calls", "inherits", "implements", "decorates", "type_ref", "reads", "writes", "config_ref", "tests", "entrypoint", "plugin_reg", "mcp_tool")
+MOST_CALLEES = 20  # fixed value: callees listed of a symbol
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -51,10 +51,15 @@ def resolve_local(sites: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def resolve_imported(sites: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """Calls of symbols in directly imported files: imports in order, then symbols in order."""
+    """Calls of symbols in directly imported files: imports in order, then symbols in order.
+
+    Names are matched against what the imported files hold before calls meet imports, so a file's calls and imports are never paired.
+    """
     by_file = match_keys(symbols).groupBy("repo_id", F.col("path").alias("resolved_path"), "key").agg(F.min_by("symbol_id", "sym_ord").alias("dst_id"))
     linked = imports.filter("resolved_path is not null").select(*FILE, "imp_ord", "resolved_path")
-    return sites.join(linked, FILE).join(by_file, ["repo_id", "resolved_path", "key"]).groupBy(*SITE).agg(F.min_by("dst_id", "imp_ord").alias("dst_id"))
+    called = sites.select(*FILE, "key").distinct()
+    names = linked.join(by_file, ["repo_id", "resolved_path"]).join(called, [*FILE, "key"], "left_semi").groupBy(*FILE, "key").agg(F.min_by("dst_id", "imp_ord").alias("dst_id"))
+    return sites.join(names, [*FILE, "key"])
 
 
 def resolve_global(sites: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -153,12 +158,17 @@ def focus_files(files: DataFrame, focus: list[str], limit: int = 50) -> DataFram
 
 
 def walk(start: DataFrame, links: DataFrame, depth: int) -> DataFrame:
-    """(node, depth): nodes within ``depth`` links of the start, each with its least distance. ``links``: src, dst."""
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    """(node, depth): nodes within ``depth`` links of the start, each with its least distance. ``links``: src, dst.
+
+    Links and every level are written once, so a level reads the one before it and not all that led there.
+    """
+    links = checkpoint(links.select("src", "dst"))
+    seen = front = checkpoint(start.select("node").distinct().withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
         step = front.join(links, front["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        front = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
+        front = checkpoint(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -180,6 +190,31 @@ def context_slice(start: DataFrame, links: DataFrame, edges: DataFrame, symbols:
     return out.join(edges.groupBy(F.col("src_id").alias("symbol_id")).agg(F.count("*").alias("callees")), "symbol_id", "left").na.fill(0, ["callees"])
 
 
+def with_degrees(part: DataFrame, edges: DataFrame) -> DataFrame:
+    """Symbols (symbol_id) of a slice with their callers, callees and inheritors; ``edges`` with type."""
+    return part.drop("callees").join(degrees(edges, part), "symbol_id", "left")
+
+
+def callee_names(edges: DataFrame, symbols: DataFrame, limit: int = MOST_CALLEES) -> DataFrame:
+    """(symbol_id, ord, id, name, file): the first ``limit`` callees of each symbol, in order of their ids."""
+    rank = F.row_number().over(Window.partitionBy("src_id").orderBy("dst_id"))
+    first = edges.select("src_id", "dst_id").distinct().withColumn("ord", rank).filter(F.col("ord") <= limit)
+    return reference(first.select(F.col("src_id").alias("symbol_id"), "ord", F.col("dst_id").alias("id")), symbols).select("symbol_id", "ord", "id", "name", "file")
+
+
+def exports(symbols: DataFrame) -> DataFrame:
+    """(repo_id, path, names, n): what each file exports, in order of appearance; files without exports have no row."""
+    named = symbols.filter("is_exported and error is null and parent is null")
+    listed = named.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("sym_ord", "name"))).alias("x"))
+    return listed.select(*FILE, F.col("x.name").alias("names"), F.size("x").alias("n"))
+
+
+def by_id(ids: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Wanted ids (id) with the first symbol that has each: path, name, kind and lines; nulls where there is none."""
+    shown = symbols.groupBy(F.col("symbol_id").alias("id")).agg(F.min_by(F.struct("path", "qualified_name", "kind", "start_line", "end_line"), F.struct("file_ord", "sym_ord")).alias("s"))
+    return ids.join(shown, "id", "left").select("id", "s.path", "s.qualified_name", "s.kind", "s.start_line", "s.end_line")
+
+
 def distances(pairs: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Distance of (from_id, to_id): 0 same, 1 caller or callee, 2 inheritor, 3 neighbour of a callee, 5 further or unknown id, 10 not in the graph.
 

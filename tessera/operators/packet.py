@@ -1,10 +1,12 @@
 """Context packets: an ordered first-fit choice under a budget, and what a packet reports.
 
 First fit is a fold in rank order: a candidate that no longer fits is left out and the next
-one is tried. It runs in rounds. A round takes the best ``CHUNK`` candidates of each group
-that still fit, behind those already decided (a limited window, cut before the shuffle), and
-folds them into the state of the groups. What no longer fits is left out by a join with that
-state. A group is never collected as a whole, however large it is.
+one is tried. It runs in rounds. A round takes, of each group, all candidates in order up to
+the first one that overflows the budget, by a running sum; that one is left out, and so is all
+that is larger than the room that remains. The number of rounds depends on how often a budget
+is overflowed, not on the number of candidates. Running sums are taken in stretches of about
+``CHUNK`` candidates behind the sum of the stretches before them, so a group is never in one
+task as a whole, however large it is.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, tokens
 from ..functions.text import round_half_up
 
-CHUNK = 900  # below the limit up to which Spark cuts windows before a shuffle
+CHUNK = 10_000  # candidates of a group in a stretch
 
 
 def first_fit(candidates: DataFrame, budgets: DataFrame, group: str, checkpoint) -> DataFrame:
@@ -24,28 +26,30 @@ def first_fit(candidates: DataFrame, budgets: DataFrame, group: str, checkpoint)
     ``candidates``: group, id, ord (the order of choice, unique in a group), cost. ``budgets``:
     group, used, cap. ``checkpoint`` writes a small table and gives it back.
     """
-    state = budgets.select(F.col(group).alias("g"), "used", "cap", F.lit(-1).cast("long").alias("at"))
-    rows = candidates.select(F.col(group).alias("g"), "id", F.col("ord").cast("long").alias("ord"), F.col("cost").cast("long").alias("cost"))
+    rows = checkpoint(candidates.select(F.col(group).alias("g"), F.col("id").cast("string").alias("id"), F.col("ord").cast("long").alias("ord"), F.col("cost").cast("long").alias("cost")))
+    extent = rows.groupBy("g").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.ceil(F.count("*") / CHUNK).alias("stretches"))
+    state = checkpoint(budgets.select(F.col(group).alias("g"), F.col("used").cast("long").alias("used"), F.col("cap").cast("long").alias("cap")).join(extent, "g").withColumn("at", F.col("lo") - 1))
     chosen = None
     while True:
         open_ = rows.join(state, "g").filter((F.col("ord") > F.col("at")) & (F.col("used") + F.col("cost") <= F.col("cap")))
-        top = open_.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("ord"))).filter(F.col("r") <= CHUNK)
-        folded = top.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "cost"))).alias("todo"), F.max("used").alias("used"), F.max("cap").alias("cap"))
-        empty = F.struct(F.col("used").alias("used"), F.expr("cast(array() as array<struct<ord:bigint,id:string,cost:bigint,used_after:bigint>>)").alias("picked"))
-
-        def step(acc, x):
-            after = acc["used"] + x["cost"]
-            picked = F.concat(acc["picked"], F.array(F.struct(x["ord"].alias("ord"), x["id"].cast("string").alias("id"), x["cost"].alias("cost"), after.alias("used_after"))))
-            return F.when(after <= F.col("cap"), F.struct(after.alias("used"), picked.alias("picked"))).otherwise(acc)
-
-        done = checkpoint(folded.select("g", "cap", F.element_at("todo", -1)["ord"].alias("at"), F.aggregate("todo", empty, step).alias("s")))
-        if done.isEmpty():
+        open_ = open_.withColumn("stretch", F.floor((F.col("ord") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo") + 1) * F.col("stretches")))
+        sums = open_.groupBy("g", "stretch").agg(F.sum("cost").alias("cost"), F.max("used").alias("used"), F.max("cap").alias("cap"))
+        base = F.coalesce(F.sum("cost").over(Window.partitionBy("g").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # Stretches behind the first overflow wait for the next round.
+        near = open_.join(sums.withColumn("base", base).filter(F.col("used") + F.col("base") <= F.col("cap")).select("g", "stretch", "base"), ["g", "stretch"])
+        after = F.col("used") + F.col("base") + F.sum("cost").over(Window.partitionBy("g", "stretch").orderBy("ord"))
+        met = checkpoint(near.withColumn("used_after", after).select("g", "ord", "id", "cost", "used_after", (F.col("used_after") <= F.col("cap")).alias("fits"), "hi"))
+        if met.isEmpty():
             break
-        new = done.select("g", F.inline("s.picked"))
+        new = met.filter("fits").select("g", "ord", "id", "cost", "used_after")
         chosen = new if chosen is None else chosen.unionByName(new)
-        state = done.select("g", F.col("s.used").alias("used"), "cap", "at")
+        over = met.groupBy("g").agg(F.max(F.when(F.col("fits"), F.col("used_after"))).alias("now"), F.min(F.when(~F.col("fits"), F.col("ord"))).alias("next"))
+        moved = state.join(over, "g").filter("next is not null")
+        state = checkpoint(moved.select("g", F.coalesce("now", "used").alias("used"), "cap", "lo", "hi", "stretches", F.col("next").alias("at")))
+        if state.isEmpty():
+            break
     if chosen is None:
-        chosen = rows.select("g", "ord", F.col("id").cast("string").alias("id"), "cost", F.col("cost").alias("used_after")).limit(0)
+        chosen = rows.select("g", "ord", "id", "cost", F.col("cost").alias("used_after")).limit(0)
     return chosen.withColumnRenamed("g", group)
 
 

@@ -38,11 +38,16 @@ BASIC = {
     ),
 }
 FALLBACK = BASIC["javascript"][:2]
-CONTROL = frozenset("if for while switch catch with do else try finally return throw new typeof instanceof delete void".split())
-EXTENDED_CONTROL = frozenset(
-    "if for while switch catch with do else try finally return throw await yield import export from new delete typeof instanceof void in of case default break continue debugger class extends super "
-    "static get set public private protected readonly abstract implements interface type enum namespace declare module require".split()
-)
+CONTROL = (
+    "if", "for", "while", "switch", "catch", "with", "do", "else", "try", "finally", "return", "throw", "new", "typeof", "instanceof", "delete",
+    "void",
+)
+EXTENDED_CONTROL = (
+    "if", "for", "while", "switch", "catch", "with", "do", "else", "try", "finally", "return", "throw", "await", "yield", "import", "export", "from",
+    "new", "delete", "typeof", "instanceof", "void", "in", "of", "case", "default", "break", "continue", "debugger", "class", "extends", "super",
+    "static", "get", "set", "public", "private", "protected", "readonly", "abstract", "implements", "interface", "type", "enum", "namespace",
+    "declare", "module", "require",
+)
 FUNCTIONS = (
     r"^(?:export\s+)?(?:async\s+)?function\s*\*?\s*(\w+)\s*\(([^)]*)\)",
     r"^(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\s*\(([^)]*)\)\s*=>",
@@ -58,6 +63,7 @@ PYTHON_METHOD = r"^(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)"
 
 #: Strings and comments are passed over; what is left are the brackets.
 _TOKEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|`(?:\\.|[^`\\])*(?:`|\Z)|[{}()]""", re.S)
+_TYPE_PARAMETERS = re.compile(r"<[^<>{}]*>")
 _CLASS_HEAD = re.compile(r"class\s+\w+(?:\s+extends\s+([\w.]+))?(?:\s+implements\s+([\w.,\s]+?))?\s*(?:\{|$)")
 _PYTHON_HEAD = re.compile(r"class\s+\w+\s*\(([^)]*)\)")
 
@@ -148,6 +154,8 @@ def _heritage(text: str, language: str) -> tuple[list[str], list[str]]:
     if language == "python":
         m = _PYTHON_HEAD.search(text)
         return _names(m[1]) if m else [], []
+    while (plain := _TYPE_PARAMETERS.sub("", text)) != text:  # from the inside out
+        text = plain
     m = _CLASS_HEAD.search(text)
     return (_names(m[1]), _names(m[2])) if m else ([], [])
 
@@ -270,6 +278,13 @@ def parser_meta(backend: str = "enhanced-regex", confidence: float = 0.85, error
     return F.struct(F.lit(backend).alias("backend"), F.lit(confidence).alias("confidence"), F.array(*[F.lit(e) for e in errors]).cast("array<string>").alias("syntax_errors"), F.lit(fallback).alias("fallback"))
 
 
+def with_meta(symbols: DataFrame) -> DataFrame:
+    """Symbols with ``parser``: what produced them, or the error of a file that failed."""
+    meta = parser_meta()
+    failed = F.struct(meta["backend"].alias("backend"), F.lit(0.0).alias("confidence"), F.array("error").alias("syntax_errors"), F.lit(True).alias("fallback"))
+    return symbols.withColumn("parser", F.when(F.col("error").isNull(), meta).otherwise(failed))
+
+
 def with_file_facts(files: DataFrame) -> DataFrame:
     """Files (path, code) with language, revision, size and the predicates on their names."""
     p = F.col("path")

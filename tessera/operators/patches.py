@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import identity, paths
 
 # Fixed values.
-OPERATIONS = ("replace_symbol", "insert_before", "insert_after")
 CRITICAL = ("parse", "typecheck", "lint", "tests")
 STEPS = ("path_check", "hash_check", "sandbox_create", "apply_edits", "parse", "typecheck", "lint", "tests")
 

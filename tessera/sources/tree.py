@@ -2,11 +2,14 @@
 
 ``spark.read.format("tessera_tree").option("root", ...)`` gives repo_id, path, code,
 mtime_ms, size and file_ord. Links are not followed, excluded names (of files and folders)
-are left out before they are opened, and the files are read in as many tasks as asked for.
+are left out before they are opened. The driver opens folders, outermost first, only until
+there are a few for each task asked for; the tasks list what lies under theirs and read it.
+With a limit, or with paths named by the caller, the driver lists and deals the files by size.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -34,30 +37,56 @@ def _wanted(path: str, profile: str) -> bool:
     return lang != "text" or name in paths.CONFIG_FILES or any(re.search(p, path) for p in paths.TEST_PATTERNS)
 
 
-def list_tree(root: str, profile: str = "code", exclude=None, limit: int | None = None) -> list[tuple[str, int, int]]:
-    """(path within the root, mtime in ms, size) of the wanted files, in order of their path."""
-    exclude = frozenset(exclude if exclude is not None else paths.EXCLUDED if profile == "code" else paths.EXCLUDED_MORE)
-    out, todo = [], [""]
-    while todo:
-        at = todo.pop()
-        try:
-            entries = list(os.scandir(os.path.join(root, at)))
-        except OSError:
+def _entries(root: str, at: str, profile: str, exclude) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """Folders and wanted files directly in a folder."""
+    folders, files = [], []
+    try:
+        entries = list(os.scandir(os.path.join(root, at)))
+    except OSError:
+        return folders, files
+    for e in entries:
+        path = f"{at}/{e.name}" if at else e.name
+        if e.name in exclude or e.is_symlink():
             continue
-        for e in entries:
-            path = f"{at}/{e.name}" if at else e.name
-            if e.name in exclude or e.is_symlink():
-                continue
-            if e.is_dir(follow_symlinks=False):
-                todo.append(path)
-            elif e.is_file(follow_symlinks=False) and _wanted(path, profile):
-                st = e.stat(follow_symlinks=False)
-                out.append((path, int(st.st_mtime * 1000), st.st_size))
+        if e.is_dir(follow_symlinks=False):
+            folders.append(path)
+        elif e.is_file(follow_symlinks=False) and _wanted(path, profile):
+            st = e.stat(follow_symlinks=False)
+            files.append((path, int(st.st_mtime * 1000), st.st_size))
+    return folders, files
+
+
+def _excluded(profile: str, exclude) -> frozenset:
+    return frozenset(exclude if exclude is not None else paths.EXCLUDED if profile == "code" else paths.EXCLUDED_MORE)
+
+
+def list_tree(root: str, profile: str = "code", exclude=None, limit: int | None = None, under: str = "") -> list[tuple[str, int, int]]:
+    """(path within the root, mtime in ms, size) of the wanted files under a folder, in order of their path."""
+    exclude = _excluded(profile, exclude)
+    out, todo = [], [under]
+    while todo:
+        folders, files = _entries(root, todo.pop(), profile, exclude)
+        todo += folders
+        out += files
     out.sort()
     return out[:limit]
 
 
-class _Files(InputPartition):
+def units(root: str, profile: str, exclude, wanted: int) -> list[tuple[str, list[tuple[str, int, int]] | None]]:
+    """Folders to be listed by tasks, and the files of the folders opened on the way, in order of their path."""
+    exclude = _excluded(profile, exclude)
+    out, front = [], [""]
+    while front and len(front) < wanted:
+        inner = []
+        for at in front:
+            folders, files = _entries(root, at, profile, exclude)
+            inner += folders
+            out += [(path, [(path, mtime, size)]) for path, mtime, size in files]
+        front = inner
+    return sorted(out + [(at, None) for at in front])
+
+
+class _Part(InputPartition):
     def __init__(self, rows):
         self.rows = rows
 
@@ -66,24 +95,45 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.root = os.path.realpath(options["root"])
         self.repo = options.get("repo_id", self.root)
-        limit = options.get("limit")
-        exclude = options.get("exclude")
-        self.args = (options.get("profile", "code"), exclude.split(",") if exclude else None, int(limit) if limit else None)
+        exclude, limit = options.get("exclude"), options.get("limit")
+        self.profile, self.exclude = options.get("profile", "code"), exclude.split(",") if exclude else None
+        self.limit, self.only = int(limit) if limit else None, options.get("only")
         self.parts = int(options.get("partitions", "8"))
 
     def partitions(self):
-        rows = [(k, *x) for k, x in enumerate(list_tree(self.root, *self.args))]
-        n = max(1, min(self.parts, len(rows)))
-        return [_Files(rows[i::n]) for i in range(n)]
-
-    def read(self, partition):
-        for k, path, mtime, size in partition.rows:
+        if self.limit or self.only is not None:
+            found = list_tree(self.root, self.profile, self.exclude, self.limit) if self.only is None else self._named()
+            todo = [(k, x[0], [x]) for k, x in enumerate(found)]
+        else:
+            todo = [(k << 32, at, files) for k, (at, files) in enumerate(units(self.root, self.profile, self.exclude, 4 * self.parts))]
+        # Largest first to the part with least; a folder to be listed counts as a large file.
+        loads, dealt = [0] * max(1, min(self.parts, len(todo))), [[] for _ in range(max(1, min(self.parts, len(todo))))]
+        for unit in sorted(todo, key=lambda u: -(u[2][0][2] if u[2] else 1 << 24)):
+            k = loads.index(min(loads))
+            loads[k] += unit[2][0][2] + 1 if unit[2] else 1 << 24
+            dealt[k].append(unit)
+        return [_Part(x) for x in dealt]
+
+    def _named(self):
+        """Files that are named (path and order are the caller's), as far as they are there."""
+        out = []
+        for path in json.loads(self.only):
             try:
-                with open(os.path.join(self.root, path), encoding="utf-8", errors="replace") as f:
-                    code = f.read()
-            except OSError:  # gone since it was listed
+                st = os.stat(os.path.join(self.root, path), follow_symlinks=False)
+            except OSError:
                 continue
-            yield self.repo, path, code, mtime, size, k
+            out.append((path, int(st.st_mtime * 1000), st.st_size))
+        return out
+
+    def read(self, partition):
+        for base, at, files in partition.rows:
+            for k, (path, mtime, size) in enumerate(list_tree(self.root, self.profile, self.exclude, under=at) if files is None else files):
+                try:
+                    with open(os.path.join(self.root, path), encoding="utf-8", errors="replace") as f:
+                        code = f.read()
+                except OSError:  # gone since it was listed
+                    continue
+                yield self.repo, path, code, mtime, size, base + k
 
 
 class TreeSource(DataSource):

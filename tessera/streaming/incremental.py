@@ -74,34 +74,46 @@ def status(files: DataFrame, symbols: DataFrame, log: DataFrame) -> DataFrame:
 
 
 class Watcher:
-    """Keeps versions of a table of files under a folder, one a micro-batch.
+    """Keeps an index of files under a folder, by what each micro-batch changes.
 
     ``listing`` is a stream of files (path, mtime_ms, code); every batch is a whole listing.
-    Versions are folders ``v=<batch>``; the version a batch starts from is the largest below
-    its own number, so a batch that runs twice writes the same rows.
+    A batch writes folder ``v=<batch>`` with the rows that it adds, modifies or deletes; the
+    newest row of a path counts. Every ``FULL`` batches all rows are written, and what lies
+    before the last such batch but one goes. A batch starts from the versions below its own
+    number, so one that runs twice writes the same rows.
     """
 
+    FULL = 50
+
     def __init__(self, spark: SparkSession, folder: str, derive: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.folder, self.derive = spark, folder.rstrip("/"), derive
         self.query: StreamingQuery | None = None
 
+    def _path(self, name: str = ""):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder + name)
+
     def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
-        fs, path = self._fs()
-        if not fs.exists(path):
+        fs = self._fs()
+        if not fs.exists(self._path()):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [n for n in names if n.startswith("v=") and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+        names = [s.getPath().getName() for s in fs.listStatus(self._path())]
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(self._path(f"/{n}/_SUCCESS")))
 
     def state(self, below: int | None = None) -> DataFrame | None:
-        """The newest version, or the newest below a number."""
+        """All files after the newest version, or the newest below a number, with what it changed; those it deleted are there once more."""
         found = [v for v in self.versions() if below is None or v < below]
-        return self.spark.read.parquet(f"{self.folder}/v={found[-1]}") if found else None
+        if not found:
+            return None
+        full = max((v for v in found if v % self.FULL == 0), default=found[0])
+        rows = self.spark.read.option("basePath", self.folder).parquet(*[f"{self.folder}/v={v}" for v in found if v >= full])
+        whole = F.struct(*[c for c in rows.columns if c != "path"])
+        last = rows.groupBy("path").agg(F.max_by(whole, "v").alias("r")).select("path", "r.*")
+        newest = F.col("v") == found[-1]
+        change = F.when(newest, F.col("change")).otherwise("same")
+        return last.filter(newest | (F.col("change") != "deleted")).withColumn("change", change).drop("v")
 
     def apply(self, batch: DataFrame, number: int) -> None:
         old = self.state(below=number)
@@ -109,12 +121,19 @@ class Watcher:
         if old is None:
             out = current.withColumn("change", F.lit("added"))
         else:
-            diff = listing_diff(old.filter("change <> 'deleted'"), batch)
             live = old.filter("change <> 'deleted'").drop("change")
-            renewed = apply_changes(live, diff, current).join(diff, "path", "left").withColumn("change", F.coalesce("change", F.lit("same")))
-            gone = live.join(diff.filter("change = 'deleted'"), "path").select(*renewed.columns)
-            out = renewed.unionByName(gone)
+            diff = listing_diff(live, batch)
+            fresh = current.join(diff.filter("change <> 'deleted'"), "path")
+            out = fresh.unionByName(live.join(diff.filter("change = 'deleted'"), "path").select(*fresh.columns))
+            if number % self.FULL == 0:
+                out = out.unionByName(live.join(diff.select("path"), "path", "left_anti").withColumn("change", F.lit("same")).select(*fresh.columns))
         out.write.mode("overwrite").parquet(f"{self.folder}/v={number}")
+        if number % self.FULL == 0:
+            done = self.versions()
+            full = [v for v in done if v % self.FULL == 0 and v < number]
+            for v in done:
+                if full and v < full[-1]:
+                    self._fs().delete(self._path(f"/v={v}"), True)
 
     def start(self, listing: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
         """Watch: every five seconds, or once over what there is."""

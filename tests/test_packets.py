@@ -80,7 +80,11 @@ def test_artifacts(spark, tmp_path):
     kept, outcome = artifacts.delete(a, a.select("artifact_id").union(spark.sql("select 'nope'")))
     assert sorted(r["outcome"][:7] for r in outcome.collect()) == ["Cannot ", "deleted", "deleted", "unknown"] and kept.count() == 1
     artifacts.write(a, f"{tmp_path}/store")
-    assert artifacts.put(spark.read.parquet(f"{tmp_path}/store").withColumn("put_ord", F.col("put_ord") + 10).drop("refs", "size", "chunk_count", "artifact_id", "hash_prefix")).count() == 3
+    artifacts.write(a.withColumn("put_ord", F.col("put_ord") + 100).withColumn("pinned", F.lit(True)), f"{tmp_path}/store")
+    back = artifacts.read(spark, f"{tmp_path}/store")
+    assert back.count() == a.count() and back.filter("pinned").count() == a.count() and spark.read.parquet(f"{tmp_path}/store/blobs").count() == a.count()
+    again = back.withColumn("put_ord", F.col("put_ord") + 10).drop("refs", "size", "chunk_count", "artifact_id", "hash_prefix", "log_ord")
+    assert artifacts.put(again.union(again)).count() == 3
     bad = a.withColumn("content", F.lit(b"tampered"))
     with pytest.raises(Exception, match="Integrity check failed"):
         artifacts.get(bad, a.select("artifact_id")).collect()
