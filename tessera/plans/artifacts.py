@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import artifacts
 from ..registry import query
+from ..storage import shared_folder
 from .identity import table
 
 BASE = """
@@ -99,3 +102,20 @@ def artifact_deflate(spark, sf_dir):
     packed = stored(spark, sf_dir).select("artifact_id", "size", artifacts.deflate("content").alias("packed"))
     ok = F.sha2(artifacts.inflate("packed"), 256) == F.col("artifact_id")
     return packed.select("artifact_id", "size", F.octet_length("packed").cast("long").alias("compressed_size"), ok.alias("intact"))
+
+
+@query("artifact_store", f"{WITH} SELECT artifact_id, CAST(2 AS BIGINT) AS log_ord, size, NOT pinned AS pinned, sha256(text) = artifact_id AS intact FROM art")
+def artifact_store(spark, sf_dir):
+    """Artifacts written to a store, and once more with other pins: blobs stay as they are, the newer row of the log counts."""
+    path = f"{shared_folder(spark)}/tessera-artifacts-{uuid.uuid4().hex}"
+    found = stored(spark, sf_dir)
+    artifacts.write(found, path, F.lit(1))
+    artifacts.write(found.withColumn("pinned", ~F.col("pinned")), path, F.lit(2))
+    return artifacts.read(spark, path).select("artifact_id", "log_ord", "size", "pinned", (F.sha2("content", 256) == F.col("artifact_id")).alias("intact"))
+
+
+@query("artifact_refused", "SELECT doc_id, strlen(text) > 1000 AS refused FROM documents")
+def artifact_refused(spark, sf_dir):
+    """Which puts a store with a cap of 1,000 bytes refuses."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return d.select("doc_id", artifacts.too_large("content", 1000).alias("refused"))

@@ -221,3 +221,29 @@ def graph_distance(spark, sf_dir):
     a = s.select(F.col("symbol_id").alias("from_id"), F.explode(F.array(*[F.col("file_ord") + F.lit(k) for k in (0, 40, 80, 20, 2)])).alias("file_ord"))
     pairs = a.join(s.select("file_ord", F.col("symbol_id").alias("to_id")), "file_ord").select("from_id", "to_id")
     return graph.distances(pairs, graph.typed_edges(s), s)
+
+
+@query("slice_degrees", _walk("SELECT DISTINCT a.path AS src, b.path AS dst FROM edges e JOIN ids a ON a.symbol_id = e.src_id JOIN ids b ON b.symbol_id = e.dst_id").replace(
+    "SELECT s.path, l.depth, s.symbol_id, s.qualified_name, s.kind, CAST((SELECT count(*) FROM edges e WHERE e.src_id = s.symbol_id) AS BIGINT) AS callees FROM",
+    "SELECT s.symbol_id, l.depth, CAST((SELECT count(*) FROM typed e WHERE e.type = 'calls' AND e.src_id = s.symbol_id) AS BIGINT) AS callees, CAST((SELECT count(*) FROM typed e WHERE e.type = 'calls' AND e.dst_id = s.symbol_id) AS BIGINT) AS callers, CAST((SELECT count(*) FROM typed e WHERE e.type = 'inherits' AND e.dst_id = s.symbol_id) AS BIGINT) AS inheritors FROM"))
+def slice_degrees(spark, sf_dir):
+    """Symbols of a slice along calls, with callers and inheritors as well."""
+    s, i = parts(spark, sf_dir)
+    e = graph.call_edges(s, i)
+    start = graph.focus_files(corpus.files(spark, sf_dir), ["src/5/f5.js", "src/6"], 5).select(F.col("path").alias("node"))
+    part = graph.context_slice(start, graph.call_links(e, s), e, s, 3)
+    return graph.with_degrees(part, graph.typed_edges(s)).select("symbol_id", "depth", "callees", "callers", "inheritors")
+
+
+@query("callee_names", f"{WITH}, c AS (SELECT DISTINCT src_id, dst_id FROM edges), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY src_id ORDER BY dst_id) AS INTEGER) AS ord FROM c) SELECT r.src_id AS symbol_id, r.ord, r.dst_id AS id, t.qualified_name AS name, t.path AS file FROM r JOIN ids t ON t.symbol_id = r.dst_id WHERE r.ord <= 20")
+def callee_names(spark, sf_dir):
+    s, i = parts(spark, sf_dir)
+    return graph.callee_names(graph.call_edges(s, i), s).select("symbol_id", "ord", "id", "name", "file")
+
+
+@query("symbols_by_id", f"{WITH}, w AS (SELECT symbol_id AS id FROM ids UNION ALL SELECT concat(symbol_id, 'x') FROM ids) SELECT w.id, s.path, s.qualified_name, s.kind, s.start_line, s.end_line FROM w LEFT JOIN ids s ON s.symbol_id = w.id")
+def symbols_by_id(spark, sf_dir):
+    """Every id, and as many that no symbol has."""
+    s = parsed(spark, sf_dir)
+    ids = s.select(F.explode(F.array("symbol_id", F.concat("symbol_id", F.lit("x")))).alias("id"))
+    return graph.by_id(ids, s).select("id", "path", "qualified_name", "kind", "start_line", "end_line")

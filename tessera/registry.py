@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "packet_build"
-MODULES = ("identity", "tokens", "corpus", "graph", "ranking", "packets", "losses", "artifacts", "changes", "patches")
+MODULES = ("identity", "tokens", "corpus", "mixed", "graph", "ranking", "packets", "losses", "artifacts", "changes", "patches", "tooling")
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
