@@ -40,3 +40,11 @@ def test_decode_images_reports_damage(spark):
 
 def test_empty(spark, no_docs):
     assert media.describe_media(media.store_texts(no_docs)).count() == 0
+
+
+def test_null_and_repeated_ids_and_clashing_names(spark):
+    rows = [(None, "a", "x", 1), (None, None, "y", 2), (3, "a", None, None), (3, "a", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, media string, width int")
+    out = media.describe_media(media.store_texts(docs)).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == ["3", "3", "None", "None"]
+    assert len({r["media_sha256"] for r in out}) == 2
