@@ -21,4 +21,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_rabin_karp": substring.OP4_SQL, "op6_exact": exact.OP6_SQL, "op9_systematic": mixing.OP9_SQL}
+    return {
+        "op4_rabin_karp": substring.OP4_SQL,
+        "op6_exact": exact.OP6_SQL,
+        "op7_run_index": runindex.OP7_SQL,
+        "op8_virtual_slots": sharding.OP8_SQL,
+        "op9_systematic": mixing.OP9_SQL,
+    }

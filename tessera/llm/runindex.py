@@ -536,3 +536,27 @@ def digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, contents: int
 def op7_run_index(spark, sf_dir: str) -> DataFrame:
     """All documents without the 100-byte strings that start earlier in the corpus."""
     return digests(_store.table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h, strlen(COALESCE(text, '')) AS n FROM documents
+), strings AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM d WHERE n >= 100)
+), hits AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM strings) WHERE r > 1
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM hits
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY doc_id, g
+), slices AS (
+  SELECT doc_id, COALESCE(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM runs
+  UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT x.doc_id, string_agg(substr(d.h, 2 * s + 1, 2 * (COALESCE(e, n) - s)), '' ORDER BY s) AS h FROM slices x JOIN d ON d.doc_id = x.doc_id GROUP BY x.doc_id
+), gone AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = d.doc_id
+"""

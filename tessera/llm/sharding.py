@@ -35,12 +35,14 @@ def with_slot(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     Rows that repeat doc_id and text are counted and dealt out again under numbers of their own.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    number = lambda digest, digits: F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
     rows = _store.doc_text(docs).select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(F.col("text")).alias("mark"),
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), number(F.md5(text.cast("binary")), 15).alias("mark"),
     )
     counted = rows.groupBy("doc_id", "size", "text_crc32", "mark").agg(F.count("*").alias("copies"))
     numbered = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    slot = F.pmod(F.xxhash64("doc_id", "mark", "copy"), F.lit(slots)).cast("int")
+    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy", "mark")
+    slot = F.pmod(number(F.md5(name.cast("binary")), 8), F.lit(slots)).cast("int")
     return numbered.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
 
 
@@ -128,3 +130,37 @@ def op8_virtual_slots(spark, sf_dir: str) -> DataFrame:
     return shard(_store.table(spark, sf_dir, "documents"), path).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
     )
+
+
+OP8_SQL = """
+WITH RECURSIVE poly AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), texts AS (
+  SELECT doc_id, COALESCE(text, '') AS text, hex(encode(COALESCE(text, ''))) AS h, CAST(strlen(COALESCE(text, '')) AS BIGINT) AS n FROM documents
+), sums AS (
+  SELECT doc_id, n + 1 AS size, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS mark,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c // 256, t[1 + xor(c, b) % 256])), 4294967295::BIGINT) AS text_crc32
+  FROM texts, poly
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, size, text_crc32, mark) AS copy FROM sums
+), slotted AS (
+  SELECT doc_id, size, text_crc32, CAST(CAST('0x' || substr(md5(concat(doc_id, '|', copy, '|', mark)), 1, 8) AS BIGINT) % 4096 AS INTEGER) AS virtual_slot FROM numbered
+), loads AS (
+  SELECT CAST(s.v AS INTEGER) AS virtual_slot, CAST(COALESCE(sum(size), 0) AS BIGINT) AS bytes, count(size) AS rows FROM range(4096) s(v) LEFT JOIN slotted ON virtual_slot = v GROUP BY v
+), ordered AS (
+  SELECT *, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS n, CAST(ceil(sum(bytes) OVER () / 16.0::DOUBLE) AS BIGINT) AS mean FROM loads
+), fold AS (
+  SELECT 0::BIGINT AS n, list_resize([0::BIGINT], 16, 0::BIGINT) AS load, NULL::INTEGER AS shard
+  UNION ALL
+  SELECT n, list_transform(load, lambda x, i: CASE WHEN i - 1 = shard THEN x + bytes ELSE x END), shard
+  FROM (
+    SELECT o.n, o.bytes, f.load, CAST(CASE WHEN f.load[1 + o.virtual_slot % 16] + o.bytes <= o.mean THEN o.virtual_slot % 16 ELSE list_position(f.load, list_min(f.load)) - 1 END AS INTEGER) AS shard
+    FROM fold f JOIN ordered o ON o.n = f.n + 1
+  )
+), map AS (
+  SELECT o.virtual_slot, f.shard, COALESCE(sum(o.rows) OVER (PARTITION BY f.shard ORDER BY o.virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM fold f JOIN ordered o ON o.n = f.n
+)
+SELECT s.doc_id, s.size, s.text_crc32, 'bytes' AS law, m.shard, CAST(m.first + row_number() OVER (PARTITION BY s.virtual_slot ORDER BY s.doc_id, s.text_crc32, s.size) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard,
+  s.virtual_slot, CAST(2 AS INTEGER) AS map_version
+FROM slotted s JOIN map m ON m.virtual_slot = s.virtual_slot
+"""
