@@ -46,7 +46,7 @@ def test_a_later_call_edits_the_stored_map(spark, tmp_path):
     after = {r["doc_id"]: (r["shard"], r["map_version"]) for r in sharding.shard(docs, path, shards=20).collect()}
     assert {v for _, v in after.values()} == {3} and {s for s, _ in after.values()} == set(range(20))
     moved = sum(before[i] != s for i, (s, _) in after.items())
-    assert moved < 0.35 * len(before)  # a fifth has to go
+    assert 0.2 * len(before) <= moved < 0.5 * len(before)  # a fifth has to go
 
 
 def test_shards_are_near_equal_and_most_slots_stay(spark, tmp_path):
