@@ -69,11 +69,14 @@ def resolve_global(sites: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def resolve_named(sites: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls by name or qualified name in the same file, otherwise by the global index."""
+    """Calls by name or qualified name in the same file, otherwise by the global index.
+
+    Both sides grow with the symbols, and estimates of exploded names are far too low: the joins shuffle, nothing is broadcast.
+    """
     names = symbols.select(*FILE, "sym_ord", "symbol_id", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("key"))
     local = names.groupBy(*FILE, "key").agg(F.min_by("symbol_id", "sym_ord").alias("local_id"))
     index = symbols.groupBy("repo_id", F.col("qualified_name").alias("key")).agg(F.min_by("symbol_id", F.struct("file_ord", "sym_ord")).alias("global_id"))
-    both = sites.join(local, [*FILE, "key"], "left").join(index, ["repo_id", "key"], "left")
+    both = sites.join(local.hint("merge"), [*FILE, "key"], "left").join(index.hint("merge"), ["repo_id", "key"], "left")
     return both.withColumn("dst_id", F.coalesce("local_id", "global_id")).filter("dst_id is not null").drop("local_id", "global_id")
 
 

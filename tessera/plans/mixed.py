@@ -8,6 +8,7 @@ from ..functions import contracts
 from ..operators import graph, parse
 from ..registry import query
 from ..sources import mixed
+from ..storage import checkpoint
 
 WITH = f"WITH {mixed.EXPECTED_SQL}"
 _SHOWN = "path, sym_ord, qualified_name, kind, signature, start_line, end_line"
@@ -67,8 +68,8 @@ def imports_mixed(spark, sf_dir):
       SELECT up.id AS src_id, up.type, t.id AS dst_id FROM up JOIN ids t ON t.qualified_name = up.name""",
 )
 def edges_mixed(spark, sf_dir):
-    """Classes with what they extend and implement."""
-    both = symbols(spark, sf_dir, "python").unionByName(symbols(spark, sf_dir, "typescript"))
+    """Classes with what they extend and implement. Symbols are written once: sites, names and index read them, for both types."""
+    both = checkpoint(symbols(spark, sf_dir, "python").unionByName(symbols(spark, sf_dir, "typescript")))
     return graph.typed_edges(both).filter("type in ('inherits', 'implements')").select("src_id", "type", "dst_id")
 
 
