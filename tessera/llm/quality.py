@@ -13,8 +13,9 @@ All are hashed into 2**18 slots.
 Training: proximal gradient steps with an L1 penalty, so that words which tell nothing weigh
 nothing and long texts gather no noise, on a bounded sample of labelled rows (``TRAIN_ROWS``
 rows, those of least hash of doc_id, alike at every size). Feature lists are made in Spark;
-the driver gets at most ``TRAIN_ROWS`` lists of at most ``TRAIN_SLOTS`` distinct slots (of a
-text with more, those of least hash), 200 MB at worst. Scoring reads whole texts. Slots in
+one task gets at most ``TRAIN_ROWS`` lists of at most ``TRAIN_SLOTS`` distinct slots (of a
+text with more, those of least hash), 200 MB at worst, and the driver the weights that are
+not 0. Scoring reads whole texts. Slots in
 fewer than ``MIN_DF`` training texts are not used; with few texts that bound is a hundredth of
 them, plus one. Training ends after ``ROUNDS`` steps, or when ``PATIENCE`` steps together
 lower the loss by less than ``LEAST`` of it.
@@ -225,19 +226,40 @@ def grade_of(quality: str = "quality", toxic: str = "toxic") -> F.Column:
     return F.when(F.col(toxic) == 1, 0).when(F.col(quality) == 0, 1).when(F.col(quality) == 1, 2).cast("int")
 
 
+def _fit_task(options: dict):
+    """Fit on the rows of one task: grade and slots, one row a doc_id, in an order that does not depend on how they came."""
+
+    def run(batches):
+        ids, grades, rows = [], [], []
+        for batch in batches:
+            slots = batch.column("slots")
+            ids.append(batch.column("doc_id").to_numpy())
+            grades.append(batch.column("grade").to_numpy())
+            rows += [slots[i].values.to_numpy() for i in range(batch.num_rows)]
+        if not rows:
+            return
+        sums = np.array([_text.mix(r.astype(np.uint64), 78).sum() for r in rows], np.uint64)
+        ids = np.concatenate(ids)
+        order = np.lexsort((sums, ids))
+        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
+        model = fit([rows[int(i)] for i in order], np.concatenate(grades)[order].astype(np.int64), **options)
+        parts = [pa.array([x.tolist()], pa.list_(t)) for x, t in ((model.slots, pa.int64()), (model.weights, pa.float64()), (model.thresholds, pa.float64()))]
+        yield pa.RecordBatch.from_arrays(parts, ["slots", "weights", "thresholds"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, **options) -> Model:
-    """Fit on the ``train_rows`` labelled rows of least hash of doc_id."""
+    """Fit on the ``train_rows`` labelled rows of least hash of doc_id, in one task; the driver gets the model alone."""
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade_of().alias("grade")).dropna().groupBy("doc_id").agg(F.min("grade").alias("grade"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     sample = _store.doc_text(docs).join(F.broadcast(rated), "doc_id")
-    got = sample.mapInArrow(_features_of, "doc_id long, grade int, slots array<int>").toArrow()
-    # A fixed order, and one row a doc_id.
-    ids = got.column("doc_id").to_numpy()
-    _, order = np.unique(ids, return_index=True)
-    slots = got.column("slots").combine_chunks() if got.num_rows else None
-    rows = [slots[int(i)].values.to_numpy() for i in order] if slots is not None else []
-    grades = got.column("grade").to_numpy()[order].astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
-    return fit(rows, grades, **options)
+    found = sample.mapInArrow(_features_of, "doc_id long, grade int, slots array<int>")
+    got = found.repartition(1).mapInArrow(_fit_task(options), "slots array<long>, weights array<double>, thresholds array<double>").toArrow()
+    if not got.num_rows:
+        return fit([], np.zeros(0, np.int64), **options)
+    slots, weights, thresholds = (got.column(c).combine_chunks().values.to_numpy() for c in got.column_names)
+    return Model(slots, weights, thresholds)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -117,3 +118,19 @@ def test_query(spark, folder, tmp_path, texts):
     assert got.columns == ["doc_id", "expected_grade", "p_not_toxic", "p_good", "kept"]
     first = sorted(map(tuple, got.collect()))
     assert len(first) == len(texts) and first == sorted(map(tuple, quality.op1_ordinal(spark, str(tmp_path)).collect()))
+
+
+def test_the_driver_does_not_fit(spark, monkeypatch):
+    """Feature lists stay in a task; of rows that share a doc_id one is learned from, in whatever order they come."""
+    rows = [(i, "good words here" if i % 2 else "rotten filthy things") for i in range(60)] + [(1, "rotten things"), (2, "good here")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    driver, fit = os.getpid(), quality.fit
+
+    def elsewhere(*args, **options):
+        assert os.getpid() != driver, "the driver fits"
+        return fit(*args, **options)
+
+    monkeypatch.setattr(quality, "fit", elsewhere)
+    models = [quality.train(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (rows, rows[::-1])]
+    assert len(models[0].slots) and models[0].slots.tolist() == models[1].slots.tolist()
+    assert models[0].weights.tolist() == models[1].weights.tolist() and models[0].thresholds.tolist() == models[1].thresholds.tolist()
