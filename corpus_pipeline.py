@@ -18,7 +18,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word Jaccard similarity 0.8 or more), one document stays."""
+    """Of each group of near-duplicates (SimHash links verified, then all other pairs of five-word Jaccard similarity 0.8 or more), one document stays."""
     return overlap.near_dedup(docs)
 
 

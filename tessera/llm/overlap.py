@@ -1,7 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of their word shingles, without loss.
+"""Near-duplicates by SimHash and the Jaccard similarity of their word shingles, without loss.
 
-A 64-bit SimHash cannot decide Jaccard 0.8: such pairs differ in 10 bits on average and in up
-to 20. Here all pairs with at least ``4 / 5`` of their joint shingles in common are found.
+All pairs with at least ``4 / 5`` of their joint shingles in common are linked. The links of their
+SimHash fingerprints (``simhash``, ``LIMIT`` bits) come first; each is verified on whole sets, as a
+fingerprint cannot decide Jaccard 0.8. Such pairs differ in 10 bits on average and in up to 20, so
+the pairs that the fingerprints keep apart are then searched exactly, by prefixes.
 
 Search: shingles have one global order, those that a sample shows to be common last, else by
 hash; any order is exact, this one keeps buckets small. Of n shingles, two sets that similar share
@@ -12,8 +14,8 @@ more than a ninth of both sizes are no candidates (an exact bound; it tells most
 shingles apart). Candidates meet the same bound on bitmaps of 2,048 parities before their whole sets are
 compared, in as many turns as keep what is shipped at a time below half of all sets.
 
-Groups: a prefix shingle's bucket is searched in rounds. First its members meet one pivot, and
-what that links leaves the search, so a tight group costs as many pairs as it has members. Then
+Groups: what the fingerprints link is one component from the start. A prefix shingle's bucket is
+searched in rounds. First its members meet one pivot, and what that links leaves the search, so a tight group costs as many pairs as it has members. Then
 members that are not connected yet are held against one another, so no link is lost; only those
 that pass the size and position filters become candidates. Buckets beyond ``BUCKET`` rows are
 dealt into blocks, and every two blocks meet in a task of their own.
@@ -34,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _store, _text
+from . import _store, _text, simhash
 from .components import components
 from .exact import keep_rows
 from .simhash import early, name_groups
 
 SHINGLE = 5
+LIMIT = simhash.LIMIT
 ROUNDS = 3
 PIVOT_ROWS = 4096
 PAIRS = 1 << 18
@@ -100,7 +103,7 @@ def may_be_near(n: np.ndarray, bits: np.ndarray, i: int, js: np.ndarray) -> np.n
 
 
 def prefixes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, mark, node (a hash of the set), n (its size), bitmap and the set's prefix in the global order, of every row."""
+    """doc_id, mark, node (a hash of the set), n (its size), bitmap, the set's prefix in the global order and fp (the SimHash), of every row."""
     late = common(docs, shingle)
 
     def prefix(x):
@@ -118,9 +121,20 @@ def prefixes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             values = np.concatenate(found) if found else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, *(pa.array(np.array([m[k] for m in maps], np.int64)) for k in range(4))], ["doc_id", "mark", "node", "n", "prefix", *BITS])
+            fps = np.array([simhash.text_fingerprint((t.as_py() or "").encode(), shingle) for t in batch.column("text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, *(pa.array(np.array([m[k] for m in maps], np.int64)) for k in range(4)), pa.array(fps.view(np.int64))], ["doc_id", "mark", "node", "n", "prefix", *BITS, "fp"])
 
-    return _store.keyed_text(docs).mapInArrow(run, "doc_id long, mark long, node long, n int, prefix array<long>, b0 long, b1 long, b2 long, b3 long")
+    return _store.keyed_text(docs).mapInArrow(run, "doc_id long, mark long, node long, n int, prefix array<long>, b0 long, b1 long, b2 long, b3 long, fp long")
+
+
+def simhash_pairs(found: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(a, b): sets whose SimHash fingerprints are equal or linked, as a spanning set; ``found`` as ``prefixes``, written."""
+    marked = _store.materialise(found.select("fp", "node").distinct(), "simhash")
+    leads = _store.materialise(marked.groupBy("fp").agg(F.min("node").alias("lead")), "distinct")
+    same = marked.join(leads, "fp").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(leads.select("fp"), limit).toDF("x", "y")
+    far = near.join(leads.toDF("x", "a"), "x").join(leads.toDF("y", "b"), "y").select("a", "b")
+    return same.union(far).filter("a <> b").distinct()
 
 
 def whole_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -277,13 +291,16 @@ def links(found: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFram
     """(a, b): links that connect all sets of Jaccard similarity 0.8 or more; ``found`` as ``prefixes``, written."""
     probes = _store.materialise(shared_probes(found), "shared")
     known = tried = None
-    for step in [*range(ROUNDS), None]:
-        named = probes.withColumn("component", F.col("node"))
-        if known is not None:
+    named, fresh = probes.withColumn("component", F.col("node")), False
+    for step in ["simhash", *range(ROUNDS), None]:
+        if fresh:
             named = probes.join(components(known).withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left").select("key", probes["node"], "n", "pos", *BITS, F.coalesce("component", "node").alias("component"))
-            named = _store.materialise(named, "buckets")
-        met = blocked(named, step is not None)
-        found_pairs = met.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(step), "a long, b long").distinct()
+            named, fresh = _store.materialise(named, "buckets"), False
+        if step == "simhash":
+            found_pairs = simhash_pairs(found)
+        else:
+            met = blocked(named, step is not None)
+            found_pairs = met.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(step), "a long, b long").distinct()
         if tried is not None:
             back = tried.union(tried.select("b", "a"))
             found_pairs = found_pairs.join(back, ["a", "b"], "left_anti")
@@ -291,7 +308,7 @@ def links(found: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFram
         if pairs.isEmpty():
             continue
         more = verified(pairs, found, docs, shingle)
-        known = more if known is None else known.union(more)
+        known, fresh = more if known is None else known.union(more), True
         tried = pairs if tried is None else tried.union(pairs)
     return known if known is not None else probes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 

@@ -1,9 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import overlap, simhash
+from tessera.llm import _store, overlap, simhash
+from tessera.llm import components as components_module
+from tessera.llm.components import components
 
 from .conftest import SCHEMA
 
@@ -85,3 +88,38 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark, dedup):
     assert {tuple(r) for r in got.collect()} == {FIVE[0], FIVE[2], FIVE[4]}
     twice = dedup(spark.createDataFrame(FIVE + FIVE, "doc_id long, text string"))
     assert sorted(map(str, twice.collect())) == sorted(map(str, got.collect()))
+
+
+def test_simhash_links_are_candidates(spark, texts):
+    """Texts with fingerprints (five words) within four bits are connected by the pairs that the stage verifies first."""
+    data = edited() + texts
+    found = _store.materialise(overlap.prefixes(rows(spark, data)), "prefixes")
+    got = {r["doc_id"]: (r["node"], r["fp"] & (1 << 64) - 1) for r in found.collect()}
+    assert [got[i][1] for i in range(len(data))] == [simhash.text_fingerprint((t or "").encode(), 5) for t in data]
+    name = {r["node"]: r["component"] for r in components(overlap.simhash_pairs(found)).collect()}
+    close = [(i, j) for i in got for j in got if i < j and got[i][0] != got[j][0] and (got[i][1] ^ got[j][1]).bit_count() <= 4]
+    assert close and all(name[got[i][0]] == name[got[j][0]] for i, j in close)
+
+
+def test_stage_verifies_simhash_links(spark, monkeypatch):
+    """SimHash pairs are linked where the whole sets are similar and nowhere else, also if no prefix is searched."""
+    same = " ".join(f"w{i}" for i in range(400))
+    data = [same, same + " end", " ".join(f"v{i}" for i in range(400))]
+    monkeypatch.setattr(overlap, "_pairs", lambda step: lambda batches: iter(()))
+    monkeypatch.setattr(overlap, "simhash_pairs", lambda found: found.alias("x").join(found.alias("y"), F.expr("x.node < y.node")).selectExpr("x.node AS a", "y.node AS b"))
+    got = corpus_pipeline.near_stage(spark, rows(spark, data), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components_in_one_task_or_many(spark, monkeypatch, few):
+    monkeypatch.setattr(components_module, "FEW", few)
+    r = random.Random(4)
+    edges = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1100)]
+    want = {}
+    for a, b in edges:
+        if a != b:
+            joined = want.get(a, {a}) | want.get(b, {b})
+            want |= dict.fromkeys(joined, joined)
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, min(c)) for x, c in want.items())
